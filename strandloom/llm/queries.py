@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import packing, quality_classifier, quality_rules, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_quality_classifier": quality_classifier.query,
+    "op5_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
 }
 
