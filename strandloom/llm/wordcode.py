@@ -109,7 +109,8 @@ class WordEncoder:
 
     def count(self, data: bytes) -> int:
         """Number of ids of a text."""
-        return int(self._length[self._look_up(data)].sum())
+        found = self._look_up(data)  # may replace the arrays
+        return int(self._length[found].sum())
 
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a text, and how many ids lie before the end of each of its sentences."""
