@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, quality_classifier, quality_rules, token_counts
+from . import mixing, packing, quality_classifier, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_quality_classifier": quality_classifier.query,
     "op5_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
+    "op8_url_filters": url_filters.query,
+    "op10_mixing": mixing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_filters": url_filters.ORACLE,
+    "op10_mixing": mixing.ORACLE,
+}
