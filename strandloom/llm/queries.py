@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_classifier, quality_rules, token_counts, url_filters
+from . import ann, html_extract, mixing, packing, quality_classifier, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_quality_classifier": quality_classifier.query,
+    "op3_html_extraction": html_extract.query,
+    "op4_nearest_neighbours": ann.query,
     "op5_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
     "op8_url_filters": url_filters.query,
