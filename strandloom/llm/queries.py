@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_extract, mixing, packing, quality_classifier, quality_rules, token_counts, url_filters
+from . import ann, html_extract, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, url_filters
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
     "op8_url_filters": url_filters.query,
+    "op9_near_dedup": near_dedup.query,
     "op10_mixing": mixing.query,
 }
 
 ORACLES: dict[str, str] = {
     "op8_url_filters": url_filters.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
