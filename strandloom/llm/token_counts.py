@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 from .wordcode import encoder, tokenizer_path
 
 BLOCK = 1024
@@ -45,7 +45,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     is the smallest L with share_up_to >= q.  Null lengths are left out; an empty table
     gives no rows.
     """
-    counts = lengths.where("length is not null").groupBy("length").agg(F.count("*").alias("n_docs"))
+    counts = durable(lengths.where("length is not null").groupBy("length").agg(F.count("*").alias("n_docs")), "lengths")  # read twice below
     counts = counts.withColumns({"n_tokens": F.col("length") * F.col("n_docs"), "block": F.floor(F.col("length") / BLOCK)})
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     over = W.orderBy("block")
@@ -59,4 +59,5 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return length_histogram(encoded_lengths(table(spark, sf_dir, "documents")))
+    lengths = encoded_lengths(table(spark, sf_dir, "documents"))
+    return length_histogram(lengths)
