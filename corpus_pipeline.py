@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.llm import mixing, near_dedup, packing, quality_rules, suffix_dedup
 from strandloom.llm.common import durable, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules.stage),
+    ("near_dedup", near_dedup.stage),
+    ("suffix_dedup", suffix_dedup.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
+]
 
 #: SQL can express neither the classifier nor the tokenizer; tests/llm compares run() with brute force.
 ORACLE_SQL = None

@@ -151,3 +151,9 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left; a document that the mix repeats is packed as
+    often."""
+    return pack(docs)
