@@ -9,9 +9,11 @@ representative.  Bands of ``ROWS`` registers put representatives into buckets.
 need no more than a spanning set of links, so a few rounds first compare each member of a
 bucket with the bucket's pivot; then, for every bucket that still holds more than one
 component, all pairs across components are compared: by a join in buckets of up to
-``SMALL`` members, and in blocks of ``BLOCK`` members elsewhere, so no task holds an
-unbounded bucket and no pair is dropped.  Candidates are first estimated from the registers
-by joint likelihood and then confirmed on the full shingle sets.
+``SMALL`` members; elsewhere members outside the bucket's largest component meet each other
+in blocks of ``BLOCK``, and meet the largest component in blocks that intersect full sets
+through an index and let only links out.  No task holds an unbounded bucket and no pair is
+dropped.  Candidate pairs are first estimated from the registers by joint likelihood and
+then confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 80  # words; per cent
 BANDS, ROWS = 40, 6
 BASE, RATE = 1.001, 20.0
 ROUNDS = ((0, 5), (5, 40))  # bands of the pivot rounds
-SMALL, BLOCK = 32, 1024
+SMALL, BLOCK, ASKS = 32, 1024, 256
 MARGIN = 0.12  # over four standard deviations of the estimate
 
 REGISTERS = BANDS * ROWS
@@ -152,22 +154,27 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, size: int, per_cent: int) ->
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _across(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All pairs of different components within the small buckets of (key, rep, comp), and the cells of the large ones."""
+def _across(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What buckets of (key, rep, comp) that hold several components leave to compare: pairs
+    (a, b) of small buckets, cells of large ones, and (main, rep): documents to hold against all
+    members of the component ``main``."""
     about = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
     open_rows = rows.join(about.select("key", "m"), "key")
     small = open_rows.where(F.col("m") <= SMALL)
     other = small.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
     pairs = small.select("key", F.col("rep").alias("a"), "comp").join(other, "key").where("a < b and comp <> cb").select("a", "b")
-    # in large buckets the members outside the largest component meet all members, block by block
+    # in large buckets the members outside the largest component meet each other block by block,
+    # and the largest component as a whole, once for all buckets that they share
     large = open_rows.where(F.col("m") > SMALL)
     sizes = large.groupBy("key", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
-    main = main.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("minor_blocks"))
-    large = large.join(main, "key")
-    every = large.withColumns({"i": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)), "minor": F.lit(False)})
-    minor = large.where("comp <> main").withColumns({"j": F.pmod(F.xxhash64("rep", F.lit(1)), F.col("minor_blocks")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "minor": F.lit(True)})
-    return pairs, every.select("key", "i", "j", "minor", "rep", "comp").unionByName(minor.select("key", "i", "j", "minor", "rep", "comp"))
+    main = main.select("key", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("blocks"))
+    minor = large.join(main, "key").where("comp <> main")
+    asks = minor.select("main", "rep").distinct()
+    here, there = (F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows_of = minor.select("key", here.alias("i"), there.alias("j"), F.lit(False).alias("asks"), "rep", "comp")
+    cells = rows_of.unionByName(minor.select("key", there.alias("i"), here.alias("j"), F.lit(True).alias("asks"), "rep", "comp"))
+    return pairs, cells, asks
 
 
 def _block_pairs(cells: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
@@ -175,12 +182,12 @@ def _block_pairs(cells: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
-        minor = pdf["minor"].to_numpy(bool)
+        asks = pdf["asks"].to_numpy(bool)
         rep, comp, n = (pdf[c].to_numpy() for c in ("rep", "comp", "n"))
         regs = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
-        rest, a, b = np.flatnonzero(~minor), [], []
-        for k in np.flatnonzero(minor):
-            can = rest[(comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= per_cent * np.maximum(n[rest], n[k]))]
+        rest, a, b = np.flatnonzero(~asks), [], []
+        for k in np.flatnonzero(asks):
+            can = rest[(comp[rest] != comp[k]) & (rep[rest] < rep[k]) & (100 * np.minimum(n[rest], n[k]) >= per_cent * np.maximum(n[rest], n[k]))]
             if len(can):
                 j = jaccard_estimate(regs[can], regs[k : k + 1], n[can], np.full(len(can), n[k]))
                 hit = can[j >= per_cent / 100 - MARGIN]
@@ -191,6 +198,47 @@ def _block_pairs(cells: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
     return cells.join(reps.select("rep", "n", "registers"), "rep").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def _links_into(asks: DataFrame, labels: DataFrame, bodies: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """Links (a, b) between the documents of ``asks`` (main, rep) and the members of their ``main``
+    component, on the full sets.
+
+    A cell holds a block of members and a block of asking documents, whose shingles it indexes;
+    only links leave it."""
+    n = asks.groupBy("main").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("ask_blocks"))
+    member = labels.withColumnRenamed("comp", "main").join(n, "main")
+    m = member.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    i, j = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("ask_blocks")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    members = member.join(m, "main").select("main", i.alias("i"), every("ask_blocks").alias("j"), F.lit(False).alias("asks"), "rep")
+    asking = asks.join(n, "main").join(m, "main").select("main", every("blocks").alias("i"), j.alias("j"), F.lit(True).alias("asks"), "rep")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asking = pdf[pdf["asks"]]
+        sets = [shingle_set(x, size) for x in asking["body"]]
+        flat, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        known, start = np.unique(flat, return_index=True)
+        end = np.append(start[1:], len(flat))
+        sizes, asked = np.array([len(x) for x in sets]), asking["rep"].to_numpy()
+        a, b = [], []
+        for rep, body in zip(pdf["rep"][~pdf["asks"]], pdf["body"][~pdf["asks"]], strict=True):
+            own = shingle_set(body, size)
+            at = np.searchsorted(known, own)
+            at = at[at < len(known)]
+            at = at[np.isin(known[at], own, assume_unique=True)]
+            count = end[at] - start[at]
+            places = np.repeat(start[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            both = np.bincount(owner[places], minlength=len(sets))
+            hit = asked[100 * both >= per_cent * (len(own) + sizes - both)]
+            a += [min(rep, x) for x in hit]
+            b += [max(rep, x) for x in hit]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    cells = members.unionByName(asking).join(bodies, "rep")
+    return cells.groupBy("main", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -219,12 +267,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
             return rows.withColumn("comp", F.col("rep"))
         return rows.join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
-    def settle(pairs: DataFrame) -> None:
-        """Confirm pairs and merge the components that they link."""
+    def settle(pairs: DataFrame, more: DataFrame | None = None) -> None:
+        """Confirm pairs and merge the components that they, and ``more`` links, connect."""
         nonlocal labels, tested
         seen = durable(confirmed(pairs, bodies, size, per_cent), "confirmed")
         tested = seen if tested is None else tested.union(seen)
         links = seen.where("linked").select("a", "b")
+        links = links if more is None else links.union(more)
         links = links if labels is None else links.union(labels.where("rep <> comp").select(F.col("comp"), F.col("rep")))
         found = connected_components(links)
         labels = None if found is None else durable(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "labels")
@@ -237,10 +286,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         settle(estimated(pairs, reps, per_cent))
-    small, cells = _across(durable(labelled(members).select("key", "rep", "comp"), "open"))
+    small, cells, asks = _across(durable(labelled(members).select("key", "rep", "comp"), "open"))
     fresh = lambda pairs: pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest = estimated(fresh(small), reps, per_cent).union(fresh(_block_pairs(cells, reps, per_cent)))
-    settle(rest.distinct())
+    settle(rest.distinct(), None if labels is None else _links_into(asks, labels, bodies, size, per_cent))
     named = classes.select("digest", "rep")
     named = labelled(named).select("digest", F.col("comp").alias("component"))
     out = s.join(named, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
