@@ -224,9 +224,8 @@ def _links_into(asks: DataFrame, labels: DataFrame, bodies: DataFrame, size: int
         a, b = [], []
         for rep, body in zip(pdf["rep"][~pdf["asks"]], pdf["body"][~pdf["asks"]], strict=True):
             own = shingle_set(body, size)
-            at = np.searchsorted(known, own)
-            at = at[at < len(known)]
-            at = at[np.isin(known[at], own, assume_unique=True)]
+            at = np.searchsorted(known, own).clip(max=len(known) - 1)
+            at = at[known[at] == own]
             count = end[at] - start[at]
             places = np.repeat(start[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             both = np.bincount(owner[places], minlength=len(sets))
