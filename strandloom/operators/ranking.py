@@ -115,7 +115,7 @@ def _distributed(rows: DataFrame, accepted: DataFrame, top: int, tie: float, lea
         if best is None:
             break
         near = gains.where(F.col("gain") >= (1 - tie) * best if best > 0 else F.col("gain") >= best)
-        row = near.orderBy(F.col("bioproject").isin(seen) if seen else F.lit(0), "acc").first()
+        row = near.orderBy(F.col("bioproject").isin(seen) if seen else F.lit(False), "acc").first()
         if picks and row.gain < least * score:
             break
         score += row.gain
