@@ -34,15 +34,15 @@ from .runindex import RunIndex
 
 WINDOW = 200
 GRAM = 32  # a power of two
-INDEX_BYTES = 1 << 20
-HOT = 4096
+INDEX_BYTES = 1 << 18
+HOT = 1024
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _M = 0x9E3779B97F4A7C15
 
 
 def anchor_rows(text: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of the texts that lie end to end in ``text`` (at most 2**20 bytes): hash, place,
+    """Anchors of the texts that lie end to end in ``text`` (at most 2**20 bytes; places take the low 20 bits of a key): hash, place,
     first window and number of windows, by place."""
     none = np.zeros(0, np.int64)
     if len(text) < window:
