@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 from .wordcode import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -61,13 +61,14 @@ def plan_cuts(positions: list[int], penalties: list[int], window: int) -> list[i
     return chosen[::-1]
 
 
-def candidate_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def candidate_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Positions and penalties of all candidate cuts of a block that starts at 0."""
     at = np.unique(np.concatenate([[0], doc_ends, sentence_ends]))
     gaps = np.diff(at)
-    wide = np.flatnonzero(gaps > LONG_SENTENCE)
-    steps = (gaps[wide] - 1) // HARD_STEP
-    inner = np.repeat(at[wide], steps) + HARD_STEP * (1 + np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps))
+    step = min(HARD_STEP, window)
+    wide = np.flatnonzero(gaps > min(LONG_SENTENCE, window))
+    steps = (gaps[wide] - 1) // step
+    inner = np.repeat(at[wide], steps) + step * (1 + np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps))
     every = np.concatenate([at, inner])
     penalty = np.concatenate([np.where(np.isin(at, doc_ends), 0, SENTENCE_PENALTY), np.full(len(inner), HARD_PENALTY)])
     order = np.argsort(every, kind="stable")
@@ -93,7 +94,7 @@ class Packer:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         sentences = np.concatenate([x[4] + s for x, s in zip(self.parts, starts, strict=True)])
-        positions, penalties = candidate_cuts(ends, sentences)
+        positions, penalties = candidate_cuts(ends, sentences, self.window)
         chosen = plan_cuts(positions.tolist(), penalties.tolist(), self.window)
         cuts = positions[chosen]
         stop = int(cuts[-1]) if last or len(cuts) < 3 else int(cuts[-2])
@@ -128,6 +129,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
     other than doc_id and text are not read.
     """
     path = tokenizer or tokenizer_path()
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 from .labelled import labelled_sample
 from .textstats import STATISTICS, statistics
 
@@ -98,6 +98,7 @@ def with_statistics(docs: DataFrame, *carried: str) -> DataFrame:
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(offsets, flat)], names=[*carried, "stats"])
 
+    bound_batches(docs.sparkSession)
     kinds = dict(docs.select(*carried).dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in carried) + ", stats array<double>"
     return docs.select(F.col("text").cast("binary").alias("text"), *carried).mapInArrow(run, schema)
@@ -123,6 +124,7 @@ def classify(docs: DataFrame, model: BoostedTrees, threshold: float = THRESHOLD)
                 score = model.score(x)
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
+    bound_batches(docs.sparkSession)
     id_text = F.col("doc_id").cast("string").cast("binary")
     ready = docs.select(F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(id_text) % 5 == 0, F.lit(False)).alias("held_out"))
     return ready.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 from .labelled import labelled_sample
 from .textstats import base_counts, byte_counts, number_words
 
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 1_200
 BITS = 16
 LEAST_WORDS, MOST_REPEATED = 20, 30  # words; per cent
 THRESHOLD = 0.3
@@ -40,7 +40,7 @@ def _buckets(values: np.ndarray, seed: int) -> np.ndarray:
 
 def ngram_buckets(data: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the word n-grams and of the character n-grams of a text."""
-    if len(_codes) > 500_000:
+    if len(_codes) > 150_000:
         _codes.clear()
     codes = np.empty(len(words), np.uint64)
     for k, w in enumerate(words):
@@ -82,7 +82,8 @@ def fit(texts: list[bytes], y: np.ndarray) -> NgramModel:
         cells += [c.astype(np.int32) for c, _ in found]
         shares += [(n / n.sum()).astype(np.float32) for _, n in found]
         lengths.append(sum(len(c) for c, _ in found))
-    cell, share, row = np.concatenate(cells), np.concatenate(shares), np.repeat(np.arange(len(y)), lengths)
+    cell, share, row = np.concatenate(cells), np.concatenate(shares), np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+    del cells, shares
     tuned = np.arange(len(y)) % 5 == 4
     train = np.where(tuned, 0.0, np.where(y == 1, 0.5 / max(1, (y[~tuned] == 1).sum()), 0.5 / max(1, (y[~tuned] == 0).sum())))
     # columns are brought to one scale, so that rare and frequent n-grams learn alike
@@ -144,6 +145,7 @@ def judge(docs: DataFrame, model: NgramModel, threshold: float = THRESHOLD) -> D
             failed = (base[:, 0] < LEAST_WORDS) | (100 * base[:, 4] > MOST_REPEATED * base[:, 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in base.T), pa.array(failed), pa.array(~failed & (good >= threshold)), pa.array(good)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"])
 
+    bound_batches(docs.sparkSession)
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return ready.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
 
@@ -158,6 +160,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from the whole documents table, so it does not depend on what earlier
     stages left."""
+    bound_batches(spark)
     model = fit_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
     def verdict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

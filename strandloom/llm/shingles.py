@@ -11,7 +11,7 @@ _hashes: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > 400_000:
+    if len(_hashes) > 150_000:
         _hashes.clear()
     out, digest, known = np.empty(len(words), np.uint64), xxhash.xxh3_64_intdigest, _hashes.get
     for k, w in enumerate(words):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import bound_batches, durable, table
 from .wordcode import encoder, tokenizer_path
 
 BLOCK = 1024
@@ -26,6 +26,7 @@ BLOCK = 1024
 def encoded_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id and the number of ids of the whole text; 0 for a null or empty text."""
     path = tokenizer or tokenizer_path()
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
