@@ -9,8 +9,8 @@
 3. Anchors with several contexts: one copy of each context goes to a run-length index
    (``runindex``) by anchor; overlapping contexts of one document are joined first, so each
    byte stands once.  Its matching statistics tell which windows start elsewhere.  Anchors
-   with over ``HOT`` contexts are split over several indexes, and their windows that are
-   unmatched there meet by hash in one aggregate more.
+   with over ``HOT`` contexts are split over several indexes, and their windows meet by hash in
+   one aggregate more.
 4. Windows become byte ranges by document and are cut out of the text.
 
 Documents with equal texts are one key; all their bytes go if the text has 200 bytes.
@@ -29,13 +29,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import bound_batches, durable, table
 from .runindex import RunIndex
 
 WINDOW = 200
 GRAM = 32  # a power of two
 INDEX_BYTES = 1 << 18
-HOT = 1024
+HOT = 2048
 
 _CHUNK = 1 << 18
 _M = 0x9E3779B97F4A7C15
@@ -71,10 +71,6 @@ def anchor_rows(text: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tup
     return h[place[head]], place[head], first[head], np.diff(np.append(head, len(first)))
 
 
-def text_key(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data, seed=11) - (1 << 63)
-
-
 def _chunks(rows: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
     """Groups of (key, first byte, bytes) of at most ``_CHUNK`` bytes; longer texts are cut into
     pieces that overlap by a window less one byte."""
@@ -178,10 +174,10 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         found = [_ranges(m) for m in masks]
         out = pdf[["anchor", "context"]].copy()
         out["lo"], out["hi"] = [f[0] for f in found], [f[1] for f in found]
-        # windows of split anchors that are unmatched here may match in another index
+        # windows of split anchors may match in another index
         loose = []
-        for m, salts, whole, body in zip(masks, pdf["salts"], pdf["whole"], pdf["body"], strict=True):
-            ask = range(len(m)) if salts > 1 and not whole else ()
+        for m, salts, body in zip(masks, pdf["salts"], pdf["body"], strict=True):
+            ask = range(len(m)) if salts > 1 else ()
             loose.append([xxhash.xxh3_128_digest(body[k : k + WINDOW]) for k in ask])
         out["loose"] = loose
         return out
@@ -190,14 +186,15 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     looked = durable(looked, "looked-up")
     loose = looked.select("anchor", "context", F.posexplode("loose").alias("at", "hash"))
     met = loose.groupBy("hash").agg(F.min("context").alias("c1"), F.max("context").alias("c2")).where("c1 < c2").select("hash")
-    crossed = loose.join(met, "hash").select("anchor", "context", F.array(F.col("at")).alias("lo"), F.array(F.col("at") + 1).alias("hi"))
-    partial = looked.select("anchor", "context", "lo", "hi").unionByName(crossed).select("anchor", "context", F.explode(F.arrays_zip("lo", "hi")).alias("r")).select("anchor", "context", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
-    partial = partial.groupBy("anchor", "context").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
-    full = contexts.where("whole").select("anchor", "context", F.array(F.struct(F.lit(0).alias("lo"), F.col("windows").alias("hi"))).alias("parts"))
+    span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    crossed = loose.join(met, "hash").groupBy("anchor", "context").agg(F.collect_list(span(F.col("at"), F.col("at") + 1)).alias("parts"))
+    partial = looked.select("anchor", "context", F.transform(F.arrays_zip("lo", "hi"), lambda r: span(r["lo"], r["hi"])).alias("parts")).where(F.size("parts") > 0)
+    partial = partial.unionByName(crossed).groupBy("anchor", "context").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    full = contexts.where("whole").select("anchor", "context", F.array(span(F.lit(0), F.col("windows"))).alias("parts"))
     partial = partial.join(full, ["anchor", "context"], "left_anti").unionByName(full)
     hits = rows.select("d", "anchor", "context", "first").join(partial, ["anchor", "context"])
-    each = hits.select("d", "first", F.explode("parts").alias("p"))
-    ranges = each.groupBy("d").agg(F.collect_set(F.struct((F.col("first") + F.col("p.lo")).alias("lo"), (F.col("first") + F.col("p.hi") + WINDOW - 1).alias("hi"))).alias("ranges"))
+    placed = F.transform("parts", lambda p: F.struct((F.col("first") + p["lo"]).alias("lo"), (F.col("first") + p["hi"] + WINDOW - 1).alias("hi")))
+    ranges = hits.select("d", placed.alias("r")).groupBy("d").agg(F.flatten(F.collect_set("r")).alias("ranges"))
     return ranges
 
 
@@ -214,13 +211,8 @@ def packed(texts: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame, *carried: str | Column) -> DataFrame:
     """Rows with their body and text key, and ``carried`` columns."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for bodies in batches:
-            yield pd.Series([text_key(x) for x in bodies], dtype="int64")
-
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(F.pandas_udf(run, "long")(body).alias("d"), body.alias("body"), *carried)
+    return docs.select(F.xxhash64(body).alias("d"), body.alias("body"), *carried)
 
 
 def cut_repeats(docs: DataFrame, *carried: str | Column, text: bool = False) -> DataFrame:
@@ -230,6 +222,7 @@ def cut_repeats(docs: DataFrame, *carried: str | Column, text: bool = False) ->
     Null texts are empty.  Each row is a document, so a repeated row is a copy.  Nulls in
     other columns are carried; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     all_rows = keyed(docs, *carried)
     long_rows = all_rows.where(F.octet_length("body") >= WINDOW).select("d", "body")
     ranges = durable(repeated_ranges(long_rows), "ranges")
