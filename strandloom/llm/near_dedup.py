@@ -28,16 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import bound_batches, durable, table
 from .components import connected_components
 from .shingles import shingle_set
 
 SHINGLE_WORDS, SIMILARITY = 5, 80  # words; per cent
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 40, 5
 BASE, RATE = 1.001, 20.0
 ROUNDS = ((0, 5), (5, 40))  # bands of the pivot rounds
 SMALL, BLOCK, ASKS = 32, 1024, 256
-MARGIN = 0.12  # over four standard deviations of the estimate
+MARGIN = 0.12  # four standard deviations of the estimate
 
 REGISTERS = BANDS * ROWS
 _SEEDS = (np.arange(1, REGISTERS + 1, dtype=np.uint32) * np.uint32(0x9E3779B1))[:, None]
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
     one doc_id are one document; a null doc_id stands alone, with a null component, and is
     kept.  Extra columns are not read; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     s = durable(sketches(docs, size), "sketches")
     full = s.where("doc_id is not null and digest is not null")
     classes = durable(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
