@@ -139,6 +139,10 @@ def build_graph(vectors: np.ndarray) -> tuple[np.ndarray, int]:
         at += len(nodes)
     over = np.flatnonzero(used > DEGREE)
     put(over, robust_prune(x, over, links[over]))
+    links.sort(1)
+    links[:, 1:][links[:, 1:] == links[:, :-1]] = -1  # links in both directions may have met
+    links[:] = -np.sort(-links, 1)
+    used[:] = (links >= 0).sum(1)
     _reach_all(x, links, used, entry)
     return links[:, : max(1, int(used.max()))].astype(np.int32), entry
 
