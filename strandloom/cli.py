@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--batch-size", type=int, default=50_000)
     c.add_argument("--max-batches", type=int, default=1000)
     c.add_argument("--seed", type=int, default=1)
+    c.add_argument("--in-flight", type=int, default=1)
     c = command("replay", manifest="Parquet of the batch log", alignments="Parquet of alignments with run and spot", out="output folder")
     c.add_argument("--min-mapq", type=int, default=60)
     command("evaluate", introns="predicted introns (GFF)", annotation="annotation (GFF or GTF)", out="output folder")
@@ -75,11 +76,10 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_text(sinks.summary_json(stats), f"{a.out}/summary")
     elif a.command == "run":
         states = [RunState(r.accession, r.total_spots, r.avg_len) for r in text.run_list(spark, a.runs).orderBy("accession").collect()]
-        loop = Loop(states, RecordedProvider(spark.read.parquet(a.alignments)), Config(batch_size=a.batch_size, max_batches=a.max_batches, seed=a.seed))
+        loop = Loop(states, RecordedProvider(spark.read.parquet(a.alignments)), Config(batch_size=a.batch_size, max_batches=a.max_batches, seed=a.seed, in_flight=a.in_flight))
         code = loop.run()
         spark.createDataFrame([(json.dumps(t),) for t in loop.timings], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out}/timings")
-        if loop.introns is not None:
-            sinks.write_text(sinks.intron_gff(loop.introns), f"{a.out}/introns")
+        sinks.write_text(sinks.intron_gff(loop.intron_table(spark)), f"{a.out}/introns")
         return code
     elif a.command == "replay":
         code, missing = replay_with(spark.read.parquet(a.manifest), RecordedProvider(spark.read.parquet(a.alignments)), a.min_mapq)

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import introns as I
@@ -54,6 +55,7 @@ class Config:
     seed: int = 1
     stop_without_profit: bool = False
     bootstrap: bool = False
+    in_flight: int = 1
     merge_batches: int = 1
     least_mult: int = 1
     unprocessed_weight: float = 1.0
@@ -81,6 +83,13 @@ class RunState:
     def batches(self, size: int) -> int:
         return max(1, math.ceil(self.total_spots / size))
 
+    def own_counts(self) -> dict:
+        """Real plus prior counts."""
+        out = dict(self.prior)
+        for t, n in self.counts.items():
+            out[t] = out.get(t, 0.0) + n
+        return out
+
     def visit_order(self, size: int, seed: int) -> list[int]:
         """Batches by hash, the last (possibly short) one last; made on the first pick."""
         if self.order is None:
@@ -96,7 +105,7 @@ class Loop:
         self.model = TileModel(config.lam, config.pseudo)
         self.avg_umr = self.avg_spliced = 100.0
         self.timings: list[dict] = []
-        self.introns: DataFrame | None = None
+        self.introns: dict[tuple, int] = {}
         self.trace: list[tuple[int, float]] = []
         self.done = 0
         self.queue = [r.accession for r in sorted((r for r in runs if r.rank > 0), key=lambda r: r.rank)]
@@ -118,19 +127,13 @@ class Loop:
             factor = max(0.01, min(1.0, r.yield_)) if r.yield_ is not None else self.config.unprocessed_weight if r.status == "unprocessed" else 1.0
         return factor * pct / 100 * self.config.batch_size
 
-    def own_counts(self, r: RunState) -> dict:
-        out = dict(r.prior)
-        for t, n in r.counts.items():
-            out[t] = out.get(t, 0.0) + n
-        return out
-
     def estimate(self) -> None:
         """Profits with the averages of the step before, then new averages.  Untouched runs share
         one distribution and, by expected reads, one profit."""
         shared, known = self.model.distribution({}), {}
         fixed = self.config.cost * self.config.batch_size
         for r in self.open_runs():
-            reads, own = self.reads_of(r), self.own_counts(r)
+            reads, own = self.reads_of(r), r.own_counts()
             if own:
                 r.profit = self.model.profit(self.model.distribution(own), reads) - fixed
             else:
@@ -174,7 +177,7 @@ class Loop:
         for r in sorted(able, key=lambda r: (-r.profit, r.accession)):
             if r.profit < top - 1e-9:
                 break
-            p = self.model.distribution(self.own_counts(r))
+            p = self.model.distribution(r.own_counts())
             fresh[r.accession] = self.model.profit(p, self.reads_of(r), extra) - self.config.cost * self.config.batch_size
             top = max(top, fresh[r.accession])
         return self.draw([r for r in able if fresh.get(r.accession, -math.inf) >= top - 1e-9], step)
@@ -186,9 +189,9 @@ class Loop:
         k = order[r.used]
         r.used += 1
         last = k
-        budget = min(self.config.merge_batches, self.config.max_batches - self.done)
+        budget = min(self.config.merge_batches, self.config.max_batches - sum(s.used for s in self.runs) + 1)
         if budget > 1 and r.times and not r.bad:
-            expected = [self.model.gain_of(self.model.distribution(self.own_counts(r)), self.reads_of(r))]
+            expected = [self.model.gain_of(self.model.distribution(r.own_counts()), self.reads_of(r))]
             while last - k + 1 < budget and last + 1 < r.batches(self.config.batch_size) and last + 1 not in taken:
                 if self.choose(step, expected) is not r:
                     break
@@ -199,51 +202,70 @@ class Loop:
                 expected.append(expected[0])
         return k, last - k + 1, last
 
-    def take(self, r: RunState, k: int, count: int) -> bool:
-        """Fetch, gate and apply one batch; any failure ends the run."""
+    def measure(self, r: RunState, k: int, count: int) -> dict:
+        """Fetch, gate and scan one batch; touches no state, so batches in flight may overlap."""
         c = self.config
         n, x = k * c.batch_size, min((k + count) * c.batch_size - 1, r.total_spots - 1)
+        out = {"n": n, "x": x, "ok": False, "uniq": 0.0, "spliced": 0.0, "tiles": {}, "introns": []}
         aln = self.provider.fetch(r.accession, n, x)
-        ok, uniq, spliced, found = False, 0.0, 0.0, {}
-        if aln is not None:
-            aln = aln.persist()
-            uniq = quality.uniqueness_long(aln, c.least_mapq).first().uniq_pct
-            ok = uniq >= c.least_unique_pct
-            if ok:
-                found = {(t.chrom, t.tile_idx): float(t.n) for t in tiles.umr_per_tile(aln, c.tile_size).collect()}
-                totals = tiles.read_totals(aln).first()
-                spots = x - n + 1
-                umr_pct, spliced = 100 * sum(found.values()) / spots, 100 * totals.n_spliced / spots
-                got = I.intron_multiset(aln).collect()
-                spark = aln.sparkSession
-                new = spark.createDataFrame([tuple(i) for i in got], "chrom string, start long, end long, strand string, mult long")
-                self.introns = new if self.introns is None else spark.createDataFrame([tuple(i) for i in I.merge(self.introns, new).collect()], new.schema)
-                r.umr_pct += (umr_pct - r.umr_pct) * count / (r.times + count)
-                r.spliced_pct += (spliced - r.spliced_pct) * count / (r.times + count)
-                r.times += count
-                for t, v in found.items():
-                    r.counts[t] = r.counts.get(t, 0.0) + v
-                self.model.add(found)
-            aln.unpersist()
-        r.bad |= not ok
+        if aln is None:
+            return out
+        aln = aln.persist()
+        out["uniq"] = quality.uniqueness_long(aln, c.least_mapq).first().uniq_pct
+        out["ok"] = out["uniq"] >= c.least_unique_pct
+        if out["ok"]:
+            # one batch's tiles and junctions: bounded by the batch, not by the data
+            out["tiles"] = {(t.chrom, t.tile_idx): float(t.n) for t in tiles.umr_per_tile(aln, c.tile_size).collect()}
+            out["spliced"] = tiles.read_totals(aln).first().n_spliced
+            out["introns"] = [tuple(i) for i in I.intron_multiset(aln).collect()]
+        aln.unpersist()
+        return out
+
+    def apply(self, r: RunState, count: int, m: dict) -> None:
+        """Add a measured batch to the state; any failure ends the run for good."""
+        c, spots = self.config, m["x"] - m["n"] + 1
+        if m["ok"] and not r.bad:
+            umr_pct, spliced = 100 * sum(m["tiles"].values()) / spots, 100 * m["spliced"] / spots
+            r.umr_pct += (umr_pct - r.umr_pct) * count / (r.times + count)
+            r.spliced_pct += (spliced - r.spliced_pct) * count / (r.times + count)
+            r.times += count
+            for t, v in m["tiles"].items():
+                r.counts[t] = r.counts.get(t, 0.0) + v
+            self.model.add(m["tiles"])
+            for i in m["introns"]:
+                self.introns[i[:4]] = self.introns.get(i[:4], 0) + i[4]
+        r.bad |= not m["ok"]
         before, self.done = self.done, self.done + count
-        self.timings.append({"batch": len(self.timings), "accession": r.accession, "n": n, "x": x, "n_batches": count, "success": int(ok), "uniq_pct": uniq, "score": self.model.score()})
+        self.timings.append({"batch": len(self.timings), "accession": r.accession, "n": m["n"], "x": m["x"], "n_batches": count, "success": int(m["ok"]), "uniq_pct": m["uniq"], "score": self.model.score()})
         if c.trace_every and self.done // c.trace_every > before // c.trace_every:
             self.trace.append((self.done, self.model.score()))
-        return ok
+
+    def intron_table(self, spark: SparkSession) -> DataFrame:
+        """Junctions with the multiplicity that the splice database asks for."""
+        rows = [(*k, m) for k, m in self.introns.items() if m >= self.config.least_mult]
+        return spark.createDataFrame(rows, "chrom string, start long, end long, strand string, mult long")
 
     def run(self) -> int:
         """Exit code: 0, or 3 when no batch was usable."""
         if self.config.bootstrap:
             self.queue = [r.accession for r in self.runs]
         self.estimate()
-        step = 0
-        while self.done < self.config.max_batches:
-            r = self.choose(step)
-            if r is None or (self.config.stop_without_profit and any(s.times for s in self.runs) and r.profit <= 0):
-                break
-            k, count, _ = self.claim(r, step)
-            self.take(r, k, count)
-            self.estimate()
-            step += 1
+        step = claimed = 0
+        flying: list[tuple] = []
+        with ThreadPoolExecutor(max(1, self.config.in_flight)) as pool:
+            while True:
+                while len(flying) < self.config.in_flight and claimed < self.config.max_batches:
+                    r = self.choose(step, [f[3] for f in flying])
+                    if r is None or (self.config.stop_without_profit and any(s.times for s in self.runs) and r.profit <= 0):
+                        break
+                    k, count, _ = self.claim(r, step)
+                    gain = self.model.gain_of(self.model.distribution(r.own_counts()), self.reads_of(r)) * count
+                    flying.append((r, count, pool.submit(self.measure, r, k, count), gain))
+                    claimed += count
+                    step += 1
+                if not flying:
+                    break
+                r, count, task, _ = flying.pop(0)  # the earliest one, so that timing changes nothing
+                self.apply(r, count, task.result())
+                self.estimate()
         return OK if any(r.times for r in self.runs) else NO_DATA

@@ -92,6 +92,9 @@ def test_loop_replay_and_stream(spark, tmp_path):
     again = Loop(states(), RecordedProvider(a), config)
     again.run()
     assert loop.timings == again.timings and loop.done == 6
+    wide = Loop(states(), RecordedProvider(a), Config(batch_size=10, max_batches=6, seed=3, in_flight=3))
+    assert wide.run() == OK and wide.done == 6 and sum(wide.model.x) > 0
+    assert sum(r.mult for r in loop.intron_table(spark).collect()) == loop.model.x.sum()
     assert all(r.bad == (r.accession == "D") for r in loop.runs if r.used)
     good = [t for t in loop.timings if t["success"]]
     pooled = sum(len(range(t["n"], t["x"] + 1)) for t in good)
@@ -131,3 +134,42 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "a.sam").write_text("q1\t0\tchr1\t100\t60\t30M200N30M\t*\t0\t0\tACGT\tIIII\n")
     assert main(["--cores", "2", "count", "--sam", str(tmp_path / "a.sam"), "--out", str(tmp_path / "o")]) == 0
     assert [r.value for r in spark.read.text(str(tmp_path / "o" / "coverage")).collect()] == ["chr1:0;1"]
+
+
+def test_catalog_and_reports(spark, tmp_path):
+    from strandloom.sources import catalog, reports
+
+    class Pages:
+        calls = 0
+
+        def count(self, species, long_reads):
+            return 25
+
+        def page(self, start, size):
+            self.calls += 1
+            if self.calls == 2:
+                raise OSError("again")
+            return f"<DocSum><Run acc=\"S{start}\" total_spots=\"{size}\" total_bases=\"100\"/></DocSum>"
+
+    got = list(catalog.pages(Pages(), "x", size=10))
+    assert len(got) == 3
+    (tmp_path / "p").mkdir()
+    for k, page in enumerate(got):
+        (tmp_path / "p" / f"{k}.xml").write_text(page)
+    assert sorted(r.accession for r in catalog.saved_pages(spark, str(tmp_path / "p")).collect()) == ["S0", "S10", "S20"]
+    codes = spark.createDataFrame([(200,), (404,), (403,), (503,), (418,), (None,)], "code int")
+    assert [r[0] for r in codes.select(catalog.availability(F.col("code"))).collect()] == ["available", "absent", "absent", "error", "error", "error"]
+    assert [r[0] for r in codes.select(catalog.retried(F.col("code"))).collect()] == [False, False, False, True, False, True]
+    counts = spark.createDataFrame([("chr1", 0, 3), ("chr2", 7, 1)], "chrom string, tile_idx long, n long")
+    sinks.write_text(sinks.coverage_lines(counts), str(tmp_path / "cov"))
+    assert sorted(map(tuple, reports.coverage(spark, str(tmp_path / "cov")).collect())) == sorted(map(tuple, counts.collect()))
+    w = spark.createDataFrame([("A", "chr1", 0, 0.5)], "acc string, chrom string, tile_idx long, w double")
+    sinks.write_text(sinks.tile_weight_lines(w), str(tmp_path / "w"), "gzip")
+    assert [tuple(r) for r in reports.tile_weights(spark, str(tmp_path / "w")).collect()] == [("A", "chr1", 0, 0.5)]
+    (tmp_path / "t.tsv").write_text("batch\taccession\tt_batch\tsuccess\n1\tA\t2.5\t1\n")
+    r = reports.timings(spark, str(tmp_path / "t.tsv")).first()
+    assert (r.batch, r.t_batch, r.n_batches) == (1, 2.5, 1)
+    (tmp_path / "r.tsv").write_text("acc\tstatus\trank\nA\taccepted\t\n")
+    r = reports.ranking(spark, str(tmp_path / "r.tsv")).first()
+    assert (r.acc, r.rank, r.gain) == ("A", None, None)
+    assert len(reports.file_md5(spark, str(tmp_path / "t.tsv")).first().md5) == 32
