@@ -37,7 +37,7 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     outlive the executors that made them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandloom/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # zstd keeps much memory outside the heap
     return spark.read.schema(df.schema).parquet(path)
 
 
