@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import durable, n_words, table
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -66,6 +66,7 @@ def mix(docs: DataFrame, seed: str = "mix", quality: Column | None = None, targe
     draw = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") + 1) / float(2**52)
     rows = docs.select("doc_id", "source", *carried, size.alias("size"), (-F.log(draw) / weight).alias("key"))
     rows = rows.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1)))
+    rows = rows if carried else durable(rows, "keys")  # without texts they are few bytes, and are read twice below
     by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     targets = source_targets(by_slice.select("source", F.col("slice_size").alias("size"))) if targets is None else targets
     running = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
