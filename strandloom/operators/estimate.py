@@ -56,6 +56,8 @@ def expected_profit(counts: DataFrame, pooled: DataFrame, runs: DataFrame, cost:
     alone, which takes few distinct values (one for each pooled count).  Tiles are grouped by
     pooled count, so the part that all tiles share costs runs x distinct counts, and the rest is
     a correction on the tiles that the run has counts on; the runs x tiles product is never made.
+    Distinct counts are few: k of them need k (k - 1) / 2 reads, so a billion reads have at most
+    45,000, which bounds the side that Spark broadcasts.
     """
     smooth = smoothing(pooled, lam, pseudo)
     levels = smooth.groupBy("x", "smooth", "z").agg(F.count("*").alias("tiles"))

@@ -45,6 +45,14 @@ def compare_manifest(recorded: DataFrame, replayed: DataFrame, tolerance: float
     return both.select("batch", status.alias("status"))
 
 
+def compare_headers(recorded: DataFrame, now: DataFrame, keys: tuple[str, ...] = ("genome_md5", "mode")) -> DataFrame:
+    """(key, recorded, now) of the header items (key, item) that must agree and do not; tool
+    versions (keys that end in _version) are compared too."""
+    asked = F.col("key").isin(*keys) | F.col("key").endswith("_version")
+    both = recorded.where(asked).select("key", F.col("item").alias("recorded")).join(now.select("key", F.col("item").alias("now")), "key", "left")
+    return both.where(~F.col("recorded").eqNullSafe(F.col("now")))
+
+
 def transcript_fingerprint(gtf: DataFrame) -> DataFrame:
     """One row: MD5 over sorted transcripts (place, strand, exons, values), whatever their names
     and order.  ``gtf`` has the nine columns c0..c8."""

@@ -51,6 +51,11 @@ def accumulate(*counts: DataFrame) -> DataFrame:
     return out.groupBy("chrom", "tile_idx").agg(F.sum("n").alias("n"))
 
 
+def new_tiles(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """Observed tiles that the index does not hold, in the order in which they are appended."""
+    return counts.select("chrom", "tile_idx").distinct().join(known.select("chrom", "tile_idx"), ["chrom", "tile_idx"], "left_anti").orderBy("chrom", "tile_idx")
+
+
 def score(counts: DataFrame) -> DataFrame:
     """S = sum of ln(1 + n) over tiles."""
     return counts.agg(F.coalesce(F.sum(F.log1p("n")), F.lit(0.0)).alias("score"), F.count_if(F.col("n") >= 1).alias("tiles1"), F.count_if(F.col("n") >= 10).alias("tiles10"))

@@ -58,6 +58,7 @@ class Config:
     in_flight: int = 1
     merge_batches: int = 1
     least_mult: int = 1
+    refresh_every: int = 25
     unprocessed_weight: float = 1.0
     trace_every: int = 0
 
@@ -107,6 +108,9 @@ class Loop:
         self.timings: list[dict] = []
         self.introns: dict[tuple, int] = {}
         self.trace: list[tuple[int, float]] = []
+        self.db_log: list[tuple[int, str, str]] = []
+        self.db_version = 0
+        self.refreshes: list[tuple[int, str]] = []
         self.done = 0
         self.queue = [r.accession for r in sorted((r for r in runs if r.rank > 0), key=lambda r: r.rank)]
         pooled: dict = {}
@@ -232,14 +236,30 @@ class Loop:
             for t, v in m["tiles"].items():
                 r.counts[t] = r.counts.get(t, 0.0) + v
             self.model.add(m["tiles"])
-            for i in m["introns"]:
-                self.introns[i[:4]] = self.introns.get(i[:4], 0) + i[4]
+            self.add_introns(m["introns"])
         r.bad |= not m["ok"]
         before, self.done = self.done, self.done + count
-        self.timings.append({"batch": len(self.timings), "accession": r.accession, "n": m["n"], "x": m["x"], "n_batches": count, "success": int(m["ok"]), "uniq_pct": m["uniq"], "score": self.model.score()})
+        self.timings.append({"batch": len(self.timings), "accession": r.accession, "n": m["n"], "x": m["x"], "n_batches": count, "db_version": self.db_version, "success": int(m["ok"]), "uniq_pct": m["uniq"], "score": self.model.score()})
         if c.trace_every and self.done // c.trace_every > before // c.trace_every:
             self.trace.append((self.done, self.model.score()))
 
+    def add_introns(self, rows: list[tuple]) -> None:
+        """Sum multiplicities.  The database gets a version only when a junction is new in it; the
+        coordinate file is also refreshed every ``refresh_every`` batches, for its scores."""
+        added = []
+        for *key, mult in rows:
+            key = tuple(key)
+            before = self.introns.get(key, 0)
+            self.introns[key] = before + mult
+            if before < self.config.least_mult <= before + mult:
+                added.append(key)
+        if added:
+            self.db_version += 1
+            self.db_log += [(self.db_version, "+", "\t".join(map(str, k))) for k in sorted(added)]
+            self.refreshes.append((self.done, "database"))
+        if added or (self.config.refresh_every and len(self.timings) % self.config.refresh_every == self.config.refresh_every - 1):
+            self.refreshes.append((self.done, "coordinates"))
+
     def intron_table(self, spark: SparkSession) -> DataFrame:
         """Junctions with the multiplicity that the splice database asks for."""
         rows = [(*k, m) for k, m in self.introns.items() if m >= self.config.least_mult]

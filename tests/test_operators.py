@@ -223,3 +223,11 @@ def test_sn_sp(spark):
     r = spark.createDataFrame([("c", 1, 200), ("c", 7, 300)], "chrom string, start long, end long")
     got = {x.level: (x.sn, x.sp) for x in evaluate.sn_sp(p, r).collect()}
     assert got == {1: (0.5, 0.5), 2: (0.5, 1.0), 5: (0.5, 1.0)}
+
+
+def test_headers_and_new_tiles(spark):
+    h = lambda rows: spark.createDataFrame(rows, "key string, item string")
+    got = provenance.compare_headers(h([("genome_md5", "a"), ("mode", "short"), ("aligner_version", "2"), ("note", "x")]), h([("genome_md5", "a"), ("mode", "long"), ("note", "y")]))
+    assert sorted(map(tuple, got.collect())) == [("aligner_version", "2", None), ("mode", "short", "long")]
+    t = lambda rows: spark.createDataFrame(rows, "chrom string, tile_idx long")
+    assert [tuple(r) for r in tiles.new_tiles(t([("b", 1), ("a", 2), ("a", 1), ("a", 1)]), t([("a", 2)])).collect()] == [("a", 1), ("b", 1)]

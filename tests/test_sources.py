@@ -92,6 +92,7 @@ def test_loop_replay_and_stream(spark, tmp_path):
     again = Loop(states(), RecordedProvider(a), config)
     again.run()
     assert loop.timings == again.timings and loop.done == 6
+    assert loop.db_version == max(v for v, _, _ in loop.db_log) and len(loop.db_log) == len(loop.introns)
     wide = Loop(states(), RecordedProvider(a), Config(batch_size=10, max_batches=6, seed=3, in_flight=3))
     assert wide.run() == OK and wide.done == 6 and sum(wide.model.x) > 0
     assert sum(r.mult for r in loop.intron_table(spark).collect()) == loop.model.x.sum()
