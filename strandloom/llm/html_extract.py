@@ -24,6 +24,7 @@ from .common import bound_batches, table
 
 SIGMA = 1.5
 SHARE = 0.7  # of the content characters, for walking down
+CONTRAST = 3
 _REACH = 4
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +37,7 @@ _NAMES = re.compile(
     r"(?:^|[^a-z0-9])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|"
     r"notices?|notification|overlay|pagination|popup|promo\w*|recommended|related|replies|reply|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[^a-z0-9])"
 )
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _OPEN_TAG = re.compile(r"<(?:/?[a-zA-Z]|!|\?)[^<>]*\Z")
 
 
@@ -71,7 +73,7 @@ class _Lines(HTMLParser):
             return
         furniture = tag in _FURNITURE or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open))
         if not furniture and attrs and tag not in _KEPT:
-            furniture = any(v and ((k in ("class", "id") and _NAMES.search(v.lower())) or (k == "role" and v.lower() in _ROLES) or (k == "aria-hidden" and v == "true")) or k == "hidden" for k, v in attrs)
+            furniture = any(v and ((k in ("class", "id") and _NAMES.search(v.lower())) or (k == "role" and v.lower() in _ROLES) or (k == "aria-hidden" and v == "true") or (k == "style" and _UNSEEN.search(v.lower()))) or k == "hidden" for k, v in attrs)
         self.open.append((tag, self.holder, bool(furniture)))
         self.hidden += bool(furniture)
         if tag in _HOLDERS:
@@ -106,7 +108,8 @@ class _Lines(HTMLParser):
 
 
 def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """Which lines belong to the upper of two clusters of the smoothed ratios."""
+    """Which lines belong to the upper of two clusters of the smoothed ratios; all, if the clusters
+    differ by less than ``CONTRAST`` times."""
     kernel = np.exp(-0.5 * (np.arange(-_REACH, _REACH + 1) / SIGMA) ** 2)
     n = len(ratios)
     smooth = np.convolve(ratios, kernel)[_REACH : _REACH + n] / np.convolve(np.ones(n), kernel)[_REACH : _REACH + n]
@@ -120,13 +123,16 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
         if new == (low, high):
             break
         low, high = new
-    return smooth >= (low + high) / 2
+    return smooth >= ((low + high) / 2 if high > CONTRAST * low else 0)
 
 
 def main_text(html: str | None) -> str:
     """The article of a page; empty for null or empty html and for pages without text."""
     if not html:
         return ""
+    comment = html.rfind("<!--")
+    if comment >= 0 and html.find("-->", comment) < 0:
+        html = html[:comment]
     parser = _Lines()
     parser.feed(_OPEN_TAG.sub("", html))
     parser.close()
