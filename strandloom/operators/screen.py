@@ -39,7 +39,7 @@ def screen_scalars(records: DataFrame, runs: DataFrame, cap: float = CAP) -> Dat
     m = F.col("is_mapped")
     span = C.reference_span(F.col("ops"))
     one = rows.groupBy("acc").agg(
-        F.count_if(m).alias("n_aligned"), F.coalesce(F.sum(F.when(m, C.aligned_query(F.col("ops")))), F.lit(0)).alias("aligned_bp"), F.count_if(m & C.is_spliced(F.col("ops"))).alias("n_spliced"),
+        F.count_if(m).alias("n_aligned"), F.coalesce(F.sum(F.when(m, C.aligned_query(F.col("ops")))), F.lit(0)).alias("aligned_bp"), F.count_if(m & F.coalesce(F.col("cigar").contains("N"), F.lit(False))).alias("n_spliced"),
         F.sum("mass").alias("mass_total"), F.coalesce(F.sum(F.when(m, F.col("mass"))), F.lit(0.0)).alias("mass_mapped"),
         F.coalesce(F.sum(F.when(m, F.col("w") * F.greatest(F.lit(1.0), span / READ_LENGTH))), F.lit(0.0)).alias("tile_mass"),
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cigar import is_spliced, operations
 from ..functions.genomics import tile_index
 
 TILE_SIZE = 5000
@@ -23,7 +22,7 @@ def read_tiles(aln: DataFrame, tile_size: int = TILE_SIZE, *more: str) -> DataFr
     one shuffle with map-side combining does, and no second aggregate by (read, tile).
     """
     place = F.struct("chrom", tile_index(F.col("pos0"), tile_size).alias("tile_idx"))
-    spliced = is_spliced(operations(F.col("cigar"))) if "cigar" in aln.columns else F.lit(False)
+    spliced = F.coalesce(F.col("cigar").contains("N"), F.lit(False)) if "cigar" in aln.columns else F.lit(False)
     reads = mapped(aln).select(*more, "qname", place.alias("place"), spliced.alias("spliced"))
     reads = reads.groupBy(*more, "qname").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.count("*").alias("hits"), F.bool_or("spliced").alias("spliced"))
     unique = (F.col("lo") == F.col("hi")) & (F.col("hits") <= 2)
