@@ -242,14 +242,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
     Null and empty texts, and texts without words, have an empty set and stand alone.  Rows of
-    one doc_id are one document; a null doc_id stands alone, with a null component, and is
+    one doc_id are one document; should their texts differ, the greatest is compared.  A null doc_id stands alone, with a null component, and is
     kept.  Extra columns are not read; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     s = durable(sketches(docs, size), "sketches")
     full = s.where("doc_id is not null and digest is not null")
     classes = durable(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
-    reps = classes.select("rep", "n", "registers").dropDuplicates(["rep"])
+    reps = classes.groupBy("rep").agg(F.max_by(F.struct("n", "registers"), "digest").alias("r")).select("rep", "r.n", "r.registers")
     keys = band_keys(reps)
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     members = durable(keys.join(shared, "key"), "members")
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
     alike = full.join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     needed = members.select("rep").distinct()
     bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("body")).where("body is not null").join(needed, "rep", "left_semi")
-    bodies = durable(bodies.dropDuplicates(["rep"]), "bodies")
+    bodies = durable(bodies.groupBy("rep").agg(F.max("body").alias("body")), "bodies")
 
     labels = None  # (rep, comp) of representatives that are linked to others
     tested = None
