@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
+FILE_ROWS = 20_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,9 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def durable(df: DataFrame, what: str) -> DataFrame:
+def durable(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and the rows
-    outlive the executors that made them."""
+    outlive the executors that made them.  With about ``rows`` rows known, no more files are
+    written than ``FILE_ROWS`` rows each ask for; each file costs a process or two on local disks."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandloom/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)  # zstd keeps much memory outside the heap

@@ -32,17 +32,18 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame | None:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame | None:
     """(node, component) of every node with an edge, component the least node of its class;
-    None if there are no edges.  ``edges`` (a, b) may repeat and hold loops."""
-    edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    None if there are no edges.  ``edges`` (a, b) may repeat and hold loops; ``rows`` says about
+    how many there are, where that is known."""
+    edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     now = _digest(edges)
     if not now[0]:
         return None
     while True:
-        edges = durable(_star(_star(edges, True), False), "edges")
+        edges = durable(_star(_star(edges, True), False), "edges", now[0])
         before, now = now, _digest(edges)
         if now == before:
             break
     roots = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", "node"))
+    return durable(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", "node")), "components", 2 * now[0])

@@ -247,17 +247,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
     """
     bound_batches(docs.sparkSession)
     s = durable(sketches(docs, size), "sketches")
+    n_docs = s.count()
     full = s.where("doc_id is not null and digest is not null")
-    classes = durable(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
+    classes = durable(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes", n_docs)
     reps = classes.groupBy("rep").agg(F.max_by(F.struct("n", "registers"), "digest").alias("r")).select("rep", "r.n", "r.registers")
     keys = band_keys(reps)
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    members = durable(keys.join(shared, "key"), "members")
+    members = durable(keys.join(shared, "key"), "members", 8 * n_docs)
     # documents that carry one id with several texts are one node
     alike = full.join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     needed = members.select("rep").distinct()
     bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("body")).where("body is not null").join(needed, "rep", "left_semi")
-    bodies = durable(bodies.groupBy("rep").agg(F.max("body").alias("body")), "bodies")
+    bodies = durable(bodies.groupBy("rep").agg(F.max("body").alias("body")), "bodies", n_docs)
 
     labels = None  # (rep, comp) of representatives that are linked to others
     tested = None
@@ -270,13 +271,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
     def settle(pairs: DataFrame, more: DataFrame | None = None) -> None:
         """Confirm pairs and merge the components that they, and ``more`` links, connect."""
         nonlocal labels, tested
-        seen = durable(confirmed(pairs, bodies, size, per_cent), "confirmed")
+        seen = durable(confirmed(pairs, bodies, size, per_cent), "confirmed", n_docs)
         tested = seen if tested is None else tested.union(seen)
         links = seen.where("linked").select("a", "b")
         links = links if more is None else links.union(more)
         links = links if labels is None else links.union(labels.where("rep <> comp").select(F.col("comp"), F.col("rep")))
-        found = connected_components(links)
-        labels = None if found is None else durable(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "labels")
+        found = connected_components(links, n_docs)
+        labels = None if found is None else found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
 
     for first, last in ROUNDS:
         rows = labelled(members.where((F.col("band") >= first) & (F.col("band") < last)))
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         settle(estimated(pairs, reps, per_cent))
-    small, cells, asks = _across(durable(labelled(members).select("key", "rep", "comp"), "open"))
+    small, cells, asks = _across(durable(labelled(members).select("key", "rep", "comp"), "open", 8 * n_docs))
     fresh = lambda pairs: pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest = estimated(fresh(small), reps, per_cent).union(fresh(_block_pairs(cells, reps, per_cent)))
     settle(rest.distinct(), None if labels is None else _links_into(asks, labels, bodies, size, per_cent))

@@ -145,11 +145,12 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     place = F.xxhash64("d", "first")
     twice = rows.groupBy("anchor").agg(F.min(place).alias("o1"), F.max(place).alias("o2")).where("o1 < o2").select("anchor")
     rows = durable(rows.join(twice, "anchor", "left_semi"), "shared-anchors")
+    n = rows.count()
     contexts = rows.groupBy("anchor", "context").agg(F.min(place).alias("o1"), F.max(place).alias("o2"), F.min(F.struct("d", "first", "windows")).alias("one"))
-    contexts = durable(contexts.select("anchor", "context", (F.col("o1") < F.col("o2")).alias("whole"), "one.*"), "contexts")
+    contexts = durable(contexts.select("anchor", "context", (F.col("o1") < F.col("o2")).alias("whole"), "one.*"), "contexts", n)
     mixed = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     asked = contexts.join(mixed, "anchor").withColumn("salts", F.ceil(F.col("n") / HOT).cast("int"))
-    asked = durable(asked.withColumn("salt", F.pmod("context", F.col("salts")).cast("int")), "asked")
+    asked = durable(asked.withColumn("salt", F.pmod("context", F.col("salts")).cast("int")), "asked", n)
     total = asked.agg(F.sum(F.col("windows") + WINDOW - 1)).first()[0] or 0
     groups = max(1, -(-total // INDEX_BYTES))
     wanted = asked.groupBy("d").agg(F.collect_list(F.struct("anchor", "context", "first", "windows", "whole", "salts", "salt")).alias("wanted"))
