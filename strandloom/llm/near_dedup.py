@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
         pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        settle(estimated(pairs, reps, per_cent))
+        settle(estimated(pairs, reps, per_cent), alike if first == 0 else None)
     small, cells, asks = _across(durable(labelled(members).select("key", "rep", "comp"), "open", 8 * n_docs))
     fresh = lambda pairs: pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest = estimated(fresh(small), reps, per_cent).union(fresh(_block_pairs(cells, reps, per_cent)))
