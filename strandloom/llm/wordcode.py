@@ -48,7 +48,7 @@ class WordEncoder:
     """Maps UTF-8 words to id runs.  The memo is emptied once it holds ``memo`` words, which
     bounds memory and changes no result."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
