@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ _SPANS = "array<struct<start:bigint,end:bigint>>"
 def operations(cigar: Column) -> Column:
     """array<struct<op, len>>; null for null and '*'."""
     parts = F.regexp_extract_all(cigar, F.lit(r"(\d+[A-Z=])"), F.lit(1))
-    parsed = F.transform(parts, lambda p: F.struct(F.substring(p, -1, 1).alias("op"), F.regexp_extract(p, r"^(\d+)", 1).cast("long").alias("len")))
+    parsed = F.transform(parts, lambda p: F.struct(F.substring(p, -1, 1).alias("op"), F.substr(p, F.lit(1), F.length(p) - 1).cast("long").alias("len")))
     return F.when(cigar != "*", parsed)
 
 
@@ -79,10 +81,20 @@ def hint_introns(pos0: Column, ops: Column) -> Column:
     query gap of up to 5 behind the block before it; the first needs a first, and the last a
     last block of 8 bases.
     """
-    b = _blocks(pos0, ops)
-    # each block with what follows it: the gap on the target and whether the query goes on closely
-    n = F.size(b)
-    linked = F.transform(
+    none = F.array().cast(_SPANS)
+    known = F.forall(ops, lambda o: o["op"].isin("M", "=", "X", "D", "N", "I", "S", "H", "P"))
+    found = _let(_blocks(pos0, ops), lambda b: _let(_linked(b), lambda linked: _let(_kept(linked), lambda kept: _gaps(b, kept))))
+    return F.coalesce(F.when(known, found), none)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _linked(b: Column) -> Column:
+    """Blocks with what follows them: the gap before, and whether the query goes on closely."""
+    return F.transform(
         b,
         lambda x, i: F.struct(
             x["t"].alias("begin"),
@@ -91,14 +103,21 @@ def hint_introns(pos0: Column, ops: Column) -> Column:
             (x["t"] - (F.get(b, i - 1)["t"] + F.get(b, i - 1)["n"])).alias("gap"),
         ),
     )
-    start = F.slice(linked, 1, 1)
+
+
+def _kept(linked: Column) -> Column:
+    """Blocks after closing short gaps; null if a gap is neither short nor an intron."""
 
     def step(kept: Column, x: Column) -> Column:
         last = F.element_at(kept, -1)
         closed = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(F.struct(last["begin"].alias("begin"), x["end"].alias("end"), x["near"].alias("near"), last["gap"].alias("gap"))))
-        return F.when(x["gap"].between(LEAST_INTRON, MOST_INTRON), F.concat(kept, F.array(x))).when(x["gap"] <= CLOSE_GAP, closed)  # else null: dropped
+        return F.when(x["gap"].between(LEAST_INTRON, MOST_INTRON), F.concat(kept, F.array(x))).when(x["gap"] <= CLOSE_GAP, closed)
+
+    return F.aggregate(F.slice(linked, 2, F.greatest(F.size(linked), F.lit(1))), F.slice(linked, 1, 1), step)
 
-    kept = F.aggregate(F.slice(linked, 2, F.greatest(n, F.lit(1))), start, step)
+
+def _gaps(b: Column, kept: Column) -> Column:
+    """Gaps between kept blocks that count; null if there are none to look at."""
     m = F.size(kept)
     edge = lambda x: x["end"] - x["begin"] + 1 >= LEAST_END_BLOCK
     gaps = F.transform(
@@ -110,7 +129,5 @@ def hint_introns(pos0: Column, ops: Column) -> Column:
         ),
     )
     good = F.transform(F.filter(gaps, lambda g: g["ok"]), lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end")))
-    known = F.forall(ops, lambda o: o["op"].isin("M", "=", "X", "D", "N", "I", "S", "H", "P"))
     span = F.element_at(b, -1)["t"] + F.element_at(b, -1)["n"] - F.element_at(b, 1)["t"]
-    usable = known & (n >= 2)
-    return F.when(usable, F.when((span <= MOST_SPAN) & kept.isNotNull() & (m >= 2), good).otherwise(F.array().cast(_SPANS))).otherwise(F.array().cast(_SPANS))
+    return F.when(kept.isNotNull() & (m >= 2), F.when(span <= MOST_SPAN, good))

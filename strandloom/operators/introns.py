@@ -64,8 +64,8 @@ def resolve_new(introns: DataFrame, cache: DataFrame, chunks: DataFrame, chunk:
 def hint_multiset(aln: DataFrame) -> DataFrame:
     """Introns that pass the hint rules; alignments without a long gap are never walked."""
     ops = C.operations(F.col("cigar"))
-    rows = aln.where(F.col("chrom").isNotNull()).where(F.col("cigar").rlike("[DN]")).where(C.has_long_gap(ops))
-    found = rows.select("chrom", F.explode(C.hint_introns(F.col("pos0"), ops)).alias("i"))
+    rows = aln.where(F.col("chrom").isNotNull() & F.col("cigar").rlike("[DN]")).select("chrom", "pos0", ops.alias("ops")).where(C.has_long_gap(F.col("ops")))
+    found = rows.select("chrom", F.explode(C.hint_introns(F.col("pos0"), F.col("ops"))).alias("i"))
     return found.groupBy("chrom", F.col("i.start").alias("start"), F.col("i.end").alias("end")).agg(F.count("*").alias("mult")).withColumn("strand", F.lit(".")).select(*KEY, "mult")
 
 
