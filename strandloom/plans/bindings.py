@@ -134,6 +134,6 @@ SCREEN = SPANS + """, keyed AS (SELECT *, qname * 8 + line AS idx FROM spans
     CASE WHEN CAST(acc AS BIGINT) % 11 = 0 THEN 'absent' ELSE 'pending' END AS status0
   FROM nc LEFT JOIN scalars USING (acc) LEFT JOIN (SELECT acc, count(*) AS n_tiles FROM stiles GROUP BY 1) USING (acc) LEFT JOIN med USING (acc)
 ), gate AS (
-  SELECT *, CASE WHEN status0 = 'absent' THEN 'absent' WHEN n_contigs < lo THEN 'too_few_contigs' WHEN divergence > 0.055 THEN 'rejected' WHEN n_tiles > 0 AND n_tiles >= 0.9 * mx THEN 'accepted' ELSE 'rejected' END AS status
-  FROM stats, (SELECT max(CASE WHEN status0 = 'pending' AND n_contigs >= lo AND NOT coalesce(divergence > 0.055, false) THEN n_tiles END) AS mx, any_value(lo) AS lo FROM stats, (SELECT CAST(avg(n_contigs) * 0.95 AS BIGINT) AS lo FROM nc))
+  SELECT *, CASE WHEN status0 = 'absent' THEN 'absent' WHEN n_contigs < lo THEN 'too_few_contigs' WHEN divergence > 0.065 THEN 'rejected' WHEN n_tiles > 0 AND n_tiles >= 0.9 * mx THEN 'accepted' ELSE 'rejected' END AS status
+  FROM stats, (SELECT max(CASE WHEN status0 = 'pending' AND n_contigs >= lo AND NOT coalesce(divergence > 0.065, false) THEN n_tiles END) AS mx, any_value(lo) AS lo FROM stats, (SELECT CAST(avg(n_contigs) * 0.95 AS BIGINT) AS lo FROM nc))
 )"""

@@ -306,7 +306,7 @@ def _screened(spark: SparkSession, d: str) -> DataFrame:
     s = screen.screen_scalars(rec, n).join(t, "acc", "left").join(screen.weighted_median(screen.divergence_values(rec)), "acc", "left").withColumnRenamed("median", "divergence")
     k = F.col("acc").cast("long")
     s = s.withColumns({"n_tiles": F.coalesce("n_tiles", F.lit(0)), "status": F.when(k % 11 == 0, "absent").otherwise("pending"), "bioproject": F.concat(F.lit("P"), (k % 7).cast("string"))})
-    return screen.gate_status(s, least, 0.9, 0.055)
+    return screen.gate_status(s, least, 0.9, 0.065)
 
 
 @query("gate_status", f"WITH {B.SCREEN} SELECT acc, status FROM gate")
