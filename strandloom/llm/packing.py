@@ -32,7 +32,7 @@ from .wordcode import encoder, tokenizer_path
 WINDOW = 2048
 END_ID = 1
 SENTENCE_PENALTY, HARD_PENALTY = 2, 12
-LONG_SENTENCE, HARD_STEP = 24, 8
+LONG_SENTENCE, HARD_STEP = 24, 16
 BLOCK_IDS = 1 << 19
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
