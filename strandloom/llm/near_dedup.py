@@ -198,14 +198,18 @@ def _block_pairs(cells: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
     return cells.join(reps.select("rep", "n", "registers"), "rep").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def _links_into(asks: DataFrame, labels: DataFrame, bodies: DataFrame, size: int, per_cent: int) -> DataFrame:
+def _links_into(asks: DataFrame, labels: DataFrame | None, bodies: DataFrame, size: int, per_cent: int) -> DataFrame:
     """Links (a, b) between the documents of ``asks`` (main, rep) and the members of their ``main``
-    component, on the full sets.
+    component, on the full sets.  A ``main`` without a label is a document that is still alone,
+    its only member.
 
     A cell holds a block of members and a block of asking documents, whose shingles it indexes;
     only links leave it."""
     n = asks.groupBy("main").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("ask_blocks"))
-    member = labels.withColumnRenamed("comp", "main").join(n, "main")
+    member = n.select(F.col("main").alias("rep"), "main", "ask_blocks")
+    if labels is not None:
+        linked = labels.withColumnRenamed("comp", "main")
+        member = linked.join(n, "main").select(*member.columns).union(member.join(linked.select("main"), "main", "left_anti").select(*member.columns))
     m = member.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     i, j = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("ask_blocks")).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -290,7 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
     small, cells, asks = _across(durable(labelled(members).select("key", "rep", "comp"), "open", 8 * n_docs))
     fresh = lambda pairs: pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest = estimated(fresh(small), reps, per_cent).union(fresh(_block_pairs(cells, reps, per_cent)))
-    settle(rest.distinct(), None if labels is None else _links_into(asks, labels, bodies, size, per_cent))
+    settle(rest.distinct(), _links_into(asks, labels, bodies, size, per_cent))
     named = classes.select("digest", "rep")
     named = labelled(named).select("digest", F.col("comp").alias("component"))
     out = s.join(named, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))

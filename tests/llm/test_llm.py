@@ -304,6 +304,26 @@ def test_near_dedup(spark, monkeypatch, small, size):
         assert r.n_shingles == n[r.doc_id] and r.component_id == low.get(r.doc_id) and r.kept == (r.doc_id is None or r.doc_id == low[r.doc_id]), r
 
 
+@pytest.mark.parametrize("linked", [False, True])
+def test_near_dedup_compares_the_largest_id_of_a_bucket(spark, monkeypatch, linked):
+    """Documents around one passage share buckets unlinked; only the largest id has a link, and no
+    pivot shows it: the two hash above the others that share their buckets."""
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "ROUNDS", ((0, 40),))
+    hashes = {r.id: r.h for r in spark.range(1000).select("id", F.xxhash64("id", F.lit(0)).alias("h")).collect()}
+    high = sorted(sorted(hashes, key=hashes.get)[-2:])
+    others = [k for k in range(high[1]) if k not in high][-60:]
+    passage = [f"p{k}" for k in range(200)]
+    text = lambda d, own: " ".join(passage + [f"o{d}x{k}" for k in range(own)])
+    rows = [(d, text(d, 60)) for d in others] + [(d, text(d, 15)) for d in high]
+    if linked:
+        rows += [(2000 + k, " ".join(f"z{j}" for j in range(50 + k))) for k in range(2)]
+    _, low = brute_components(rows, 2)
+    assert low[high[1]] == high[0]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == low
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(1)
     est, missed = [], 0
