@@ -4,9 +4,9 @@ The standard library's parser streams events; text gathers into lines, one for e
 of the page, with the number of tags met on the way.  Each line's text-to-tag ratio is
 smoothed along the page by a Gaussian, and a threshold between the two clusters of the
 smoothed values marks content lines.  The region that holds them is found by walking down
-from the root as long as one child holds most of the content characters; an ``article`` or
-``main`` on the way is the region.  All lines of the region count as text, short ones too,
-except those inside elements that are page furniture by tag, role, class or id.
+from the root as long as one child holds all content lines; the first ``article`` or ``main``
+on the way is the region.  All lines of the region count as text, short ones too, except those
+inside elements that are page furniture by tag, role, class or id.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import bound_batches, table
 
 SIGMA = 1.5
-SHARE = 0.7  # of the content characters, for walking down
 CONTRAST = 3
 _REACH = 4
 
@@ -151,13 +150,11 @@ def main_text(html: str | None) -> str:
         weight[parser.holders[k][1]] += weight[k]
         children.setdefault(parser.holders[k][1], []).append(k)
     region = at = 0
-    while True:
-        best = max(children.get(at, ()), key=weight.__getitem__, default=0)
-        if not best or weight[best] < SHARE * weight[0] or weight[best] <= 0:
+    while parser.holders[region][0] not in ("article", "main"):
+        at = next((k for k in children.get(at, ()) if weight[k] == weight[0]), 0)  # whole characters: exact
+        if not at:
             break
-        at = best
-        if parser.holders[at][0] in ("article", "main") or parser.holders[region][0] not in ("article", "main"):
-            region = at if parser.holders[at][0] not in ("table", "tbody", "tr", "ul", "ol", "dl", "li", "dd") else region
+        region = at if parser.holders[at][0] not in ("table", "tbody", "tr", "ul", "ol", "dl", "li", "dd") else region
     inside = [False] * len(weight)
     inside[region] = True
     for k in range(region + 1, len(weight)):

@@ -206,6 +206,28 @@ def test_html(spark):
     assert want.startswith(texts[5]) and texts[6] == "deep"
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div>{a}</div><div>{b}</div>",
+        "<section>{a}</section><section>{b}</section>",
+        "<p>{b}</p><section>{a}</section><p>{b}</p>",
+        "<p>{b}</p><blockquote>{a}</blockquote><p>{b}</p>",
+        "<div><p>{b}</p><table><tr><td>{a}</td></tr></table><p>{b}</p></div>",
+        "<main><p>{b}</p><article>{a}</article><p>{b}</p></main>",
+        "<main><p>A date</p><article>{a}{b}</article></main>",
+        "<article>{a}</article><article>{b}</article>",
+    ],
+)
+def test_html_keeps_text_in_several_parts(body):
+    """No line that is marked as content falls outside the region."""
+    rnd = random.Random(3)
+    parts = {"a": "".join(f"<p>{prose(rnd, 60)}</p>" for _ in range(6)), "b": "".join(f"<p>{prose(rnd, 50)}</p>" for _ in range(1))}
+    filled = body.format(**parts)
+    page = '<html><body><nav><a href="/a">Home</a></nav>' + filled + '<div class="sidebar"><p>Other stories</p></div><footer>End</footer></body></html>'
+    assert html_extract.main_text(page) == " ".join(re.sub("<[^>]*>", " ", filled).split())
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 16)).astype(np.float32)
