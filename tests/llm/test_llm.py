@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -359,6 +360,17 @@ def test_sketch_estimates():
     assert abs(np.mean(est) - 0.78) < 0.01 and np.std(est) < 0.035 and missed == 0
 
 
+def test_screen_misses_less_than_the_bands():
+    """Pairs at 0.8 of like size: the chance of an estimate that the screen drops."""
+    count, same = near_dedup.REGISTERS, np.arange(near_dedup.REGISTERS + 1)
+    a = np.zeros((count + 1, count), np.uint16)
+    b = np.where(np.arange(count)[None] < same[:, None], 0, 1).astype(np.uint16)
+    n = np.full(count + 1, 1000)
+    dropped = near_dedup.jaccard_estimate(a, b, n, n) < near_dedup.SIMILARITY / 100 - near_dedup.MARGIN
+    miss = sum(math.comb(count, int(k)) * 0.8 ** int(k) * 0.2 ** (count - int(k)) for k in same[dropped])
+    assert miss < 1e-9 < 0.01 * (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS
+
+
 def test_shingles_of_short_texts():
     assert len(shingle_set(b"", 2)) == 0 and len(shingle_set(b" \n", 2)) == 0 and len(shingle_set(b"one", 2)) == 1
     assert (shingle_set(b"A b", 2) == shingle_set(b"a  B", 2)).all() and (shingle_set(b"a b a b a b", 2).shape) == (2,)
