@@ -6,7 +6,7 @@ one expression, so no join is needed.
 
 Pages without a rule take a verdict from their aliases.  A page's ``<link rel=canonical>``
 and ``<meta http-equiv=refresh>`` targets, and any redirect table given, are edges between
-urls (fragments dropped, host in lower case); connected components of those edges are
+urls (resolved against the page, fragments dropped, host in lower case); connected components of those edges are
 aliases of one page.  A component with a blocked member blocks its members that have no
 rule of their own; an allow rule on the page itself takes precedence; where no member is
 blocked the verdict is allow.
@@ -52,16 +52,33 @@ def normal_url(url: Column) -> Column:
     return F.concat(F.translate(start, _UPPER, _LOWER), F.substr(plain, F.length(start) + 1))
 
 
+def resolved(to: Column, base: Column) -> Column:
+    """The url that ``to`` means on a page at ``base``; null for other schemes and unusable bases."""
+    scheme, origin = F.regexp_extract(base, r"(?s)^([^/?#:]+:)//", 1), F.regexp_extract(base, r"(?s)^([^/?#:]+://[^/?#]*)", 1)
+    rest = F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    path = F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
+    joined = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"(?s)^/(.*/)?", 1), path))
+    parts = F.split(F.regexp_replace(joined, r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.lit(1), F.size(done) - 1))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    clean = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
+    local = F.when(path == "", F.concat(origin, path_of(base), rest)).otherwise(F.concat(origin, clean, rest))
+    return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None)).when(origin == "", F.lit(None)).when(to.startswith("//"), F.concat(scheme, to)).otherwise(local)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's url and an absolute url that it names as canonical or refreshes to."""
+    """(a, b): a page's url and a url that it names as canonical or refreshes to, resolved against
+    the page's ``<base href>``, if any, and its own url."""
     html = F.col("html")
     tags = F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     hinted = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
     tag = F.col("tag")
+    plain = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
     canonical = F.when(tag.rlike(r"""(?i)^<link\b[^>]*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract(tag, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     refresh = F.when(tag.rlike(r"""(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract(tag, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
-    found = pages.where(F.col("url").isNotNull() & hinted).select("url", F.explode(tags).alias("tag")).select("url", F.coalesce(canonical, refresh).alias("to"))
-    return found.where(F.col("to").contains("://")).select(normal_url(F.col("url")).alias("a"), normal_url(F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))).alias("b"))
+    named = F.regexp_extract(html, r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+    base = F.when(named == "", F.col("url")).otherwise(F.coalesce(resolved(plain(named), F.col("url")), F.col("url")))
+    found = pages.where(F.col("url").isNotNull() & hinted).select("url", base.alias("base"), F.explode(tags).alias("tag")).select("url", "base", plain(F.coalesce(canonical, refresh)).alias("to"))
+    return found.where("to <> ''").select(normal_url(F.col("url")).alias("a"), normal_url(resolved(F.col("to"), F.col("base"))).alias("b")).where("b is not null")
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:

@@ -421,6 +421,18 @@ def test_url_filters(spark):
     assert {k[0]: k[1:] for k in got}[3] == ("a.www.example.com", "/en/") and {k[0]: k[1:] for k in got}[6] == ("", "")
 
 
+def test_url_filters_resolve_targets(spark):
+    base = "http://a.net/de/x/1?q=1"
+    for_base = {"/fr/1": "http://a.net/fr/1", "//b.net/es/": "http://b.net/es/", "2": "http://a.net/de/x/2", "../2": "http://a.net/de/2", "../../../fr/./y/..": "http://a.net/fr/", "?p=2": "http://a.net/de/x/1?p=2", "/r?u=http://c.net/": "http://a.net/r?u=http://c.net/", "https://C.net/a/../b": "https://C.net/a/../b", "mailto:x": None}
+    df = spark.createDataFrame([(k, base, v) for k, v in for_base.items()] + [("fr/1", "http://a.net", "http://a.net/fr/1"), ("/fr/1", "no scheme", None)], "t string, base string, want string")
+    for r in df.withColumn("got", url_filters.resolved(F.col("t"), F.col("base"))).collect():
+        assert r.got == r.want, r
+    link = '<link rel="canonical" href="%s">'
+    rows = [(1, "http://a.net/de/1", link % "/fr/1"), (2, "http://a.org/de/2", link % "//a.net/es/"), (3, "http://a.net/de/3", "<meta http-equiv=refresh content='0;url=../fr/3'>"), (4, "http://a.org/4", '<base href="http://b.net/fr/">' + link % "x"), (5, "http://a.net/de/5", link % "/de/6")]
+    got = {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 def test_components(spark):
     rnd = random.Random(7)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
