@@ -364,7 +364,7 @@ def greedy_second_gains(spark, d):
 @query("greedy_full")
 def greedy_full(spark, d):
     s = _screened(spark, d)
-    return ranking.rank(screen.screen_tiles(_records(spark, d), tile_size=T), s, 25.0, top=20)
+    return ranking.rank(screen.screen_tiles(_records(spark, d), tile_size=T), s, 25.0)
 
 
 @query("ranking_order", f"WITH {B.SCREEN}, k AS (SELECT acc, status, n_tiles, CASE WHEN status = 'accepted' AND CAST(acc AS BIGINT) % 3 = 0 THEN CAST(acc AS INTEGER) END AS rank FROM gate) SELECT acc, CAST(row_number() OVER (ORDER BY CASE WHEN coalesce(rank, 0) > 0 THEN rank ELSE 1000000000 END, list_position(['accepted', 'rejected', 'too_few_contigs', 'absent', 'error', 'unsampled'], status), n_tiles DESC, acc) AS INTEGER) AS position FROM k")

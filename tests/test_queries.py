@@ -26,3 +26,8 @@ def test_query(spark, duck, name):
     got = QUERIES[name](spark, DATA).toPandas()
     if name in ORACLES:
         assert plain(got) == plain(duck.sql(ORACLES[name]).df())
+
+
+def test_greedy_full_picks_beyond_twenty(spark):
+    picks = QUERIES["greedy_full"](spark, "/root/testdata/sf0.01").collect()
+    assert len(picks) > 50 and [r.rank for r in picks] == list(range(1, len(picks) + 1)) and len({r.acc for r in picks}) == len(picks)
