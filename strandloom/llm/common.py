@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
-FILE_ROWS = 20_000
+FILE_BYTES = 1 << 24
+HOT_KEYS = 2000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,16 +34,39 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def durable(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+def durable(df: DataFrame, what: str, rows: int | None = None, width: int = 64) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and the rows
-    outlive the executors that made them.  With about ``rows`` rows known, no more files are
-    written than ``FILE_ROWS`` rows each ask for; each file costs a process or two on local disks."""
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    outlive the executors that made them.  About ``rows`` rows of ``width`` bytes, where that is
+    known, are dealt to files of ``FILE_BYTES`` by a shuffle of the rows made, which leaves the
+    stage that makes them as wide as it is; each file costs a process or two on local disks."""
     spark = df.sparkSession
+    if rows is not None and (files := max(1, -(-rows * width // FILE_BYTES))) < shuffle_width(spark):
+        df = df.repartition(files)
     path = f"{shared_dir(spark)}/strandloom/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)  # zstd keeps much memory outside the heap
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``durable`` wrote for these tables, once nothing that is still to run reads them."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            spark = t.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """Inner equi-join of ``rows`` with ``keyed``, which has one row for each key and in the
+    column ``times`` how many of ``total`` rows hold it.  Keys of over a ``HOT_KEYS``-th of all
+    rows, at most ``HOT_KEYS`` of them and so few enough to broadcast, are joined by broadcast;
+    the other rows meet in a shuffle in which no key is large."""
+    hot = keyed.where(F.col(times) * HOT_KEYS > total)
+    cold = keyed.where(F.col(times) * HOT_KEYS <= total)
+    names = F.broadcast(hot.select(*on))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(names, on, "left_anti").join(cold, on))
 
 
 def bound_batches(spark: SparkSession) -> None:

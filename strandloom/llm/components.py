@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,14 +36,17 @@ def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame
     """(node, component) of every node with an edge, component the least node of its class;
     None if there are no edges.  ``edges`` (a, b) may repeat and hold loops; ``rows`` says about
     how many there are, where that is known."""
-    edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
+    edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows, 20)
     now = _digest(edges)
     if not now[0]:
         return None
     while True:
-        edges = durable(_star(_star(edges, True), False), "edges", now[0])
+        last, edges = edges, durable(_star(_star(edges, True), False), "edges", now[0], 20)
         before, now = now, _digest(edges)
+        discard(last)
         if now == before:
             break
     roots = edges.select(F.col("b").alias("node")).distinct()
-    return durable(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", "node")), "components", 2 * now[0])
+    found = durable(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", "node")), "components", 2 * now[0], 20)
+    discard(edges)
+    return found

@@ -4,8 +4,10 @@ Sketch: register j holds floor(1 - log_b x) for the least x over the shingles of
 exponential variates, truncated to 16 bits (Ertl, 2021).  Registers of a union are the
 larger of both, and the chance that two agree follows the Jaccard similarity.
 
-Link search.  Documents with equal shingle sets form a class with its least doc_id as
-representative.  Bands of ``ROWS`` registers put representatives into buckets.  Components
+Link search.  Documents with equal shingle sets form a class, a node of the graph, whatever
+their ids are: rows of one doc_id with different texts are different documents.  A node is
+named by its least doc_id, or by a spare number if another class has the same or it has none.
+Bands of ``ROWS`` registers put nodes into buckets.  Components
 need no more than a spanning set of links, so a few rounds first compare each member of a
 bucket with the bucket's pivot; then, for every bucket that still holds more than one
 component, all pairs across components are compared: by a join in buckets of up to
@@ -25,10 +27,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, durable, table
+from .common import WORD_PATTERN, bound_batches, discard, durable, spread_join, table
 from .components import connected_components
 from .shingles import shingle_set
 
@@ -37,6 +40,7 @@ BANDS, ROWS = 40, 5
 BASE, RATE = 1.001, 20.0
 ROUNDS = ((0, 5), (5, 40))  # bands of the pivot rounds
 SMALL, BLOCK, ASKS = 32, 1024, 256
+CELL_SHINGLES = 1 << 20  # of the members, and of the asking documents, of a cell that holds full sets
 MARGIN = 0.2  # seven standard deviations of the estimate: misses far less than the bands do
 
 REGISTERS = BANDS * ROWS
@@ -76,21 +80,31 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: n
     return np.take_along_axis(j, value.argmax(1)[:, None], 1)[:, 0]
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set) and registers of every document."""
+def sketches(docs: DataFrame, size: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``carried`` long columns, n_shingles, digest (null for an empty set), registers and
+    the compressed text of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            counts, digests, registers = [], [], []
-            for x in batch.column(1):
-                s = shingle_set(x.as_py() or b"", size)
+            counts, digests, registers, bodies = [], [], [], []
+            for x in batch.column("text"):
+                data = x.as_py() or b""
+                s = shingle_set(data, size)
                 counts.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 registers.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], names=["doc_id", "n_shingles", "digest", "registers"])
+                bodies.append(pack.compress(data) if len(s) else None)
+            made = [pa.array(counts, pa.int64()), *(pa.array(c, pa.binary()) for c in (digests, registers, bodies))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in first), *made], names=[*first, "n_shingles", "digest", "registers", "body"])
 
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return ready.mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary")
+    first = ["doc_id", *carried]
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.col("text").cast("binary").alias("text"))
+    return ready.mapInArrow(run, "".join(f"{c} long, " for c in first) + "n_shingles long, digest binary, registers binary, body binary")
+
+
+def unpacked_set(body: bytes, size: int) -> np.ndarray:
+    return shingle_set(zstandard.ZstdDecompressor().decompress(body), size)
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
@@ -137,7 +151,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, size: int, per_cent: int) ->
 
         def of(key: int, body: pa.Scalar) -> np.ndarray:
             if key not in kept:
-                kept[key] = shingle_set(body.as_py(), size)
+                kept[key] = unpacked_set(body.as_py(), size)
                 if len(kept) > 64:
                     kept.popitem(last=False)
             return kept[key]
@@ -198,19 +212,21 @@ def _block_pairs(cells: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
     return cells.join(reps.select("rep", "n", "registers"), "rep").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def _links_into(asks: DataFrame, labels: DataFrame | None, bodies: DataFrame, size: int, per_cent: int) -> DataFrame:
+def _links_into(asks: DataFrame, labels: DataFrame | None, reps: DataFrame, bodies: DataFrame, size: int, per_cent: int) -> DataFrame:
     """Links (a, b) between the documents of ``asks`` (main, rep) and the members of their ``main``
     component, on the full sets.  A ``main`` without a label is a document that is still alone,
     its only member.
 
     A cell holds a block of members and a block of asking documents, whose shingles it indexes;
-    only links leave it."""
-    n = asks.groupBy("main").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("ask_blocks"))
+    only links leave it.  Blocks are bounded by documents and by shingles."""
+    sizes = reps.select("rep", "n")
+    blocks_of = lambda most: F.ceil(F.greatest(F.count("*") / most, F.sum("n") / CELL_SHINGLES)).cast("int")
+    n = asks.join(sizes, "rep").groupBy("main").agg(blocks_of(ASKS).alias("ask_blocks"))
     member = n.select(F.col("main").alias("rep"), "main", "ask_blocks")
     if labels is not None:
         linked = labels.withColumnRenamed("comp", "main")
         member = linked.join(n, "main").select(*member.columns).union(member.join(linked.select("main"), "main", "left_anti").select(*member.columns))
-    m = member.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    m = member.join(sizes, "rep").groupBy("main").agg(blocks_of(BLOCK).alias("blocks"))
     i, j = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("ask_blocks")).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     members = member.join(m, "main").select("main", i.alias("i"), every("ask_blocks").alias("j"), F.lit(False).alias("asks"), "rep")
@@ -218,7 +234,7 @@ def _links_into(asks: DataFrame, labels: DataFrame | None, bodies: DataFrame, si
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         asking = pdf[pdf["asks"]]
-        sets = [shingle_set(x, size) for x in asking["body"]]
+        sets = [unpacked_set(x, size) for x in asking["body"]]
         flat, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
@@ -227,7 +243,7 @@ def _links_into(asks: DataFrame, labels: DataFrame | None, bodies: DataFrame, si
         sizes, asked = np.array([len(x) for x in sets]), asking["rep"].to_numpy()
         a, b = [], []
         for rep, body in zip(pdf["rep"][~pdf["asks"]], pdf["body"][~pdf["asks"]], strict=True):
-            own = shingle_set(body, size)
+            own = unpacked_set(body, size)
             at = np.searchsorted(known, own).clip(max=len(known) - 1)
             at = at[known[at] == own]
             count = end[at] - start[at]
@@ -242,27 +258,43 @@ def _links_into(asks: DataFrame, labels: DataFrame | None, bodies: DataFrame, si
     return cells.groupBy("main", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``.
-
-    Null and empty texts, and texts without words, have an empty set and stand alone.  Rows of
-    one doc_id are one document; should their texts differ, the greatest is compared.  A null doc_id stands alone, with a null component, and is
-    kept.  Extra columns are not read; an empty table gives no rows.
-    """
-    bound_batches(docs.sparkSession)
-    s = durable(sketches(docs, size), "sketches")
-    n_docs = s.count()
-    full = s.where("doc_id is not null and digest is not null")
-    classes = durable(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes", n_docs)
-    reps = classes.groupBy("rep").agg(F.max_by(F.struct("n", "registers"), "digest").alias("r")).select("rep", "r.n", "r.registers")
+def _classes(s: DataFrame, n_docs: int, n_shingles: int) -> tuple[DataFrame, bool]:
+    """digest, least doc_id, rep (the node), n, registers and body of each class of equal shingle
+    sets, and whether nodes are all named by doc_ids."""
+    full = s.where("digest is not null").groupBy("digest")
+    first = [F.first(c).alias(n) for c, n in (("n_shingles", "n"), ("registers", "registers"), ("body", "body"))]
+    width = 500 + 4 * n_shingles // max(1, n_docs)
+    classes = durable(full.agg(F.min("doc_id").alias("doc_id"), *first), "classes", n_docs, width)
+    clash = classes.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 or doc_id is null")
+    if clash.isEmpty():
+        return classes.withColumn("rep", F.col("doc_id")), True
+    about = classes.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    names = classes.select("digest", "doc_id")
+    shared = spread_join(names.where("doc_id is not null"), clash.where("doc_id is not null"), ["doc_id"], "times", about.n).select("digest")
+    number = F.monotonically_increasing_id()
+    if about.high is None or about.high < 1 << 62:
+        spare = number + F.lit(1 << 62)
+    elif about.low >= -(1 << 62):
+        spare = -number - F.lit((1 << 62) + 1)
+    else:  # ids at both ends: number all
+        shared, spare = names.select("digest"), number
+    spares = durable(shared.union(names.where("doc_id is null").select("digest")).distinct().select("digest", spare.alias("spare")), "spares")
+    return durable(classes.join(spares, "digest", "left").withColumn("rep", F.coalesce("spare", "doc_id")).drop("spare"), "nodes", about.n, width), False
+
+
+def _components(docs: DataFrame, size: int, per_cent: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``carried`` columns, n_shingles, the node that names the component (null for an
+    empty set) and component_id of every row of ``docs``."""
+    s = durable(sketches(docs, size, carried), "sketches")
+    about = s.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).first()
+    n_docs = about.n
+    classes, by_id = _classes(s, n_docs, about.shingles or 0)
+    reps = classes.select("rep", "n", "registers")
     keys = band_keys(reps)
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    members = durable(keys.join(shared, "key"), "members", 8 * n_docs)
-    # documents that carry one id with several texts are one node
-    alike = full.join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    needed = members.select("rep").distinct()
-    bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("body")).where("body is not null").join(needed, "rep", "left_semi")
-    bodies = durable(bodies.groupBy("rep").agg(F.max("body").alias("body")), "bodies", n_docs)
+    members = durable(keys.join(shared, "key"), "members", 8 * n_docs, 20)
+    bodies = classes.select("rep", "body").join(members.select("rep").distinct(), "rep", "left_semi")
+    bodies = durable(bodies, "bodies", n_docs, 100 + 4 * (about.shingles or 0) // max(1, n_docs))
 
     labels = None  # (rep, comp) of representatives that are linked to others
     tested = None
@@ -275,7 +307,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
     def settle(pairs: DataFrame, more: DataFrame | None = None) -> None:
         """Confirm pairs and merge the components that they, and ``more`` links, connect."""
         nonlocal labels, tested
-        seen = durable(confirmed(pairs, bodies, size, per_cent), "confirmed", n_docs)
+        seen = durable(confirmed(pairs, bodies, size, per_cent), "confirmed", n_docs, 20)
         tested = seen if tested is None else tested.union(seen)
         links = seen.where("linked").select("a", "b")
         links = links if more is None else links.union(more)
@@ -290,15 +322,34 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int =
         pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        settle(estimated(pairs, reps, per_cent), alike if first == 0 else None)
-    small, cells, asks = _across(durable(labelled(members).select("key", "rep", "comp"), "open", 8 * n_docs))
+        settle(estimated(pairs, reps, per_cent))
+    still_open = durable(labelled(members).select("key", "rep", "comp"), "open", 8 * n_docs, 24)
+    small, cells, asks = _across(still_open)
     fresh = lambda pairs: pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest = estimated(fresh(small), reps, per_cent).union(fresh(_block_pairs(cells, reps, per_cent)))
-    settle(rest.distinct(), _links_into(asks, labels, bodies, size, per_cent))
-    named = classes.select("digest", "rep")
-    named = labelled(named).select("digest", F.col("comp").alias("component"))
-    out = s.join(named, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    settle(rest.distinct(), _links_into(asks, labels, reps, bodies, size, per_cent))
+    discard(members, bodies, still_open)
+    named = labelled(classes.select("digest", "doc_id", "rep"))
+    if by_id:
+        named = named.select("digest", "comp", F.col("comp").alias("least"))
+    else:
+        named = named.join(named.groupBy("comp").agg(F.min("doc_id").alias("least")), "comp").select("digest", "comp", "least")
+    out = s.select("doc_id", *carried, "n_shingles", "digest").join(named, "digest", "left")
+    return out.select("doc_id", *carried, "n_shingles", "comp", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, per_cent: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``.
+
+    Null and empty texts, and texts without words, have an empty set and stand alone.  Each row
+    is a document: rows of one doc_id link by their texts only, and rows without a doc_id link
+    like others, but name no component, so component_id is null where all ids of a component
+    are.  ``kept`` compares doc_id and component_id null-safely.  Extra columns are not read; an
+    empty table gives no rows.
+    """
+    bound_batches(docs.sparkSession)
+    out = _components(docs, size, per_cent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,10 +357,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8), with its columns."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near duplicates (five words, 0.8), with its columns.
+
+    The row of least doc_id stays (null ids last), of several texts under that id one that does
+    not depend on the order of rows, and of rows that repeat it one.  Rows of one id with
+    different texts are different documents.  Texts without words have no duplicates, so all
+    their rows stay; an empty table stays empty.
+    """
+    bound_batches(spark)
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    doc_id = F.col("doc_id").cast("long")
+    keys = {"i0": F.coalesce(doc_id, F.lit(0)), "i1": doc_id.isNull().cast("long"), "k1": F.xxhash64(F.lit(1), text), "k2": F.xxhash64(F.lit(2), text)}
+    on = list(keys)
+    ready = docs.select(F.struct(*docs.columns).alias("row"), doc_id.alias("doc_id"), F.col("text"), *[c.alias(n) for n, c in keys.items()])
+    found = _components(ready.drop("row"), SHINGLE_WORDS, SIMILARITY, tuple(on)).where("comp is not null")
+    rows = found.groupBy("comp", *on).agg(F.count("*").alias("times"))
+    best = rows.groupBy("comp").agg(F.min(F.struct("i1", "i0", "k1", "k2", "times")).alias("b"))
+    best = durable(best.select(*[F.col("b")[c].alias(c) for c in on], F.col("b.times").alias("times")), "kept")
+    worded = ready.where(F.col("text").rlike(WORD_PATTERN))
+    one = worded.join(best.where("times = 1"), on, "left_semi").select("row")
+    repeated = best.where("times > 1")
+    if not repeated.isEmpty():
+        total = best.agg(F.sum("times")).first()[0]
+        one = one.union(spread_join(worded, repeated, on, "times", total).dropDuplicates(on).select("row"))
+    return one.union(ready.where(~F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))).select("row")).select("row.*")
 
 
 ORACLE = r"""
