@@ -325,7 +325,8 @@ def _components(docs: DataFrame, size: int, per_cent: int, carried: tuple[str, .
         settle(estimated(pairs, reps, per_cent))
     still_open = durable(labelled(members).select("key", "rep", "comp"), "open", 8 * n_docs, 24)
     small, cells, asks = _across(still_open)
-    fresh = lambda pairs: pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    # written first: a pair may share 40 buckets, and the optimiser would test it before it is made distinct
+    fresh = lambda pairs: durable(pairs.distinct(), "pairs", n_docs, 20).join(tested.select("a", "b"), ["a", "b"], "left_anti")
     rest = estimated(fresh(small), reps, per_cent).union(fresh(_block_pairs(cells, reps, per_cent)))
     settle(rest.distinct(), _links_into(asks, labels, reps, bodies, size, per_cent))
     discard(members, bodies, still_open)
