@@ -9,9 +9,10 @@ Selection: a source's target is some complete epochs, which take every document,
 For the rest each document draws the key -ln(u) / w, with u from a hash of its id and w its
 quality weight; the documents of least key are taken while the middle of the document lies
 within the rest.  Keys are cut into ``SLICES`` ranges: totals of slices come first, then sums
-inside a slice, so that a source of any size is spread over many tasks.
+inside the one slice in which the rest ends, so that a source of any size is spread over many
+tasks.  What comes out is one row a source: its complete epochs and the key at the cut.
 
-Everything is DataFrame code; the key depends on doc_id alone, so reruns agree.
+Everything is DataFrame code; the key depends on the document alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, n_words, table
+from .common import WORD_PATTERN, durable, n_words, table
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -54,36 +55,62 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return s.select("source", "source_size", F.least(target, F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", quality: Column | None = None, targets: DataFrame | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, source_size, target, taken, and ``carried`` columns.
+def _meet(left: DataFrame, right: DataFrame, *more: str, how: str = "inner") -> DataFrame:
+    """Join on source, null or not, and the columns ``more``."""
+    on = {c: f"its_{c}" for c in ("source", *more)}
+    both = left.join(right.withColumnsRenamed(on), [F.col(a).eqNullSafe(F.col(b)) for a, b in on.items()], how)
+    return both.drop(*on.values())
 
-    Null texts have size 0 and take nothing; null sources are a source of their own; null
-    doc_ids share one key; of repeated rows each is a document.  Sizes of 0 everywhere give
-    targets of 0; an empty table gives no rows.
-    """
-    size = n_words(F.col("text"))
-    weight = text_quality(F.col("text"), size) if quality is None else quality
-    draw = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") + 1) / float(2**52)
-    rows = docs.select("doc_id", "source", *carried, size.alias("size"), (-F.log(draw) / weight).alias("key"))
-    rows = rows.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1)))
-    rows = rows if carried else durable(rows, "keys")  # without texts they are few bytes, and are read twice below
+
+def drawn(text: Column, doc_id: Column, size: Column, seed: str, quality: Column | None) -> Column:
+    """The exponential key of a document.  Without a doc_id the text stands for it."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.xxhash64(text).cast("string")))
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), name).cast("binary")), 1, 13), 16, 10).cast("double") + 1) / float(2**52)
+    return -F.log(u) / (text_quality(text, size) if quality is None else quality)
+
+
+def cuts(keys: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """One row for each source of the rows (source, size, key, tie): source_size, target, epochs
+    (complete ones) and where the order by (key, tie) is cut for the rest: documents before
+    ``cut`` are taken once more, and ``ties`` of those equal to it."""
+    rows = keys.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1)))
     by_slice = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     targets = source_targets(by_slice.select("source", F.col("slice_size").alias("size"))) if targets is None else targets
     running = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    same = lambda a, b, *more: [a[c].eqNullSafe(b[c]) for c in ("source", *more)]
     slices = by_slice.withColumn("before_slice", F.coalesce(F.sum("slice_size").over(running), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(0)
-    slices = slices.join(targets, same(slices, targets)).select(slices["source"], "slice", "slice_size", "before_slice", "source_size", "target", epochs.alias("epochs"))
-    slices = slices.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    out = rows.join(slices, same(rows, slices, "slice")).drop(slices["source"]).drop(slices["slice"])
-    # only slices that the rest ends in need an order
-    edge = (F.col("before_slice") < F.col("rest")) & (F.col("before_slice") + F.col("slice_size") > F.col("rest"))
-    inside = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("before_slice") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    tail = out.where(edge).withColumn("chosen", before + F.col("size") / 2 <= F.col("rest"))
-    rest = out.where(~edge).withColumn("chosen", F.col("before_slice") < F.col("rest"))
-    taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))
-    return tail.unionByName(rest).select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), *carried)
+    sources = targets.select("source", "source_size", "target", epochs.alias("epochs")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    # the slice in which the rest ends is the only one that needs an order
+    edges = _meet(slices, sources).select("source", "slice", "before_slice", "rest")
+    edges = edges.where(F.col("before_slice") < F.col("rest")).groupBy("source").agg(F.max(F.struct("slice", "before_slice", "rest")).alias("e")).select("source", "e.*")
+    tail = _meet(rows, edges, "slice").groupBy("source", "key", "tie", "size", "before_slice", "rest").agg(F.count("*").alias("times"))
+    inside = W.partitionBy("source").orderBy("key", "tie", "size").rowsBetween(W.unboundedPreceding, -1)
+    tail = tail.withColumn("before", F.col("before_slice") + F.coalesce(F.sum(F.col("size") * F.col("times")).over(inside), F.lit(0)))
+    # a document is taken while its middle lies within the rest
+    fit = F.when(F.col("size") > 0, F.floor((F.col("rest") - F.col("before")) / F.col("size") + 0.5)).otherwise(F.col("times"))
+    tail = tail.where("size > 0").withColumn("ties", F.greatest(F.lit(0), F.least(F.col("times"), fit)))
+    cut = tail.where("ties > 0").groupBy("source").agg(F.max(F.struct("key", "tie", "ties", "times")).alias("c"))
+    # where no document of that slice fits, the cut lies at its start
+    cut = _meet(_meet(sources, edges.select("source", "slice"), how="left"), cut, how="left")
+    start = -F.log(1 - F.col("slice") / SLICES)
+    return cut.select("source", "source_size", "target", "epochs", F.coalesce("c.key", start).alias("cut_key"), F.col("c.tie").alias("cut_tie"), F.col("c.ties").alias("ties"), F.col("c.times").alias("times"))
+
+
+def mix(docs: DataFrame, seed: str = "mix", quality: Column | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, size, source_size, target and taken.
+
+    Null texts have size 0 and take nothing; null sources are a source of their own; rows
+    without a doc_id are drawn by their text; of repeated rows each is a document.  Sizes of 0
+    everywhere give targets of 0; an empty table gives no rows.
+    """
+    size = n_words(F.col("text"))
+    keys = docs.select("doc_id", "source", size.alias("size"), drawn(F.col("text"), F.col("doc_id"), size, seed, quality).alias("key"))
+    keys = durable(keys.withColumn("tie", F.monotonically_increasing_id()), "keys")  # without texts: few bytes, read several times; written, so numbers hold
+    plan = durable(cuts(keys, targets), "cuts")
+    rows = _meet(keys, plan)
+    chosen = F.coalesce((F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("tie") <= F.col("cut_tie"))), F.lit(False))
+    taken = F.col("size") * (F.col("epochs") + chosen.cast("long"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,12 +118,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; those it does not take go."""
-    columns = docs.columns
-    ready = docs.select(*columns, F.struct(*columns).alias("row"))
-    mixed = mix(ready, carried=("row",)).where("taken > 0")
-    times = (F.col("taken") / F.col("size")).cast("int")
-    return mixed.select("row", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("row.*")
+    """Each document as many times as the mix takes it; those it does not take go.
+
+    Documents meet one row a source, so texts are not shuffled.  Rows that are alike in every
+    column are counted, should the cut fall among them.  Texts without words take no part;
+    nulls in other columns are carried; an empty table stays empty.
+    """
+    row = F.struct(*docs.columns)
+    text, size = F.col("row")["text"], n_words(F.col("row")["text"])
+    ready = docs.select(row.alias("row"), F.col("source").alias("source"), F.xxhash64(row).alias("tie"))
+    ready = ready.withColumn("size", size)
+    ready = ready.withColumn("key", drawn(text, F.col("row")["doc_id"], F.col("size"), "mix", None)).where(text.rlike(WORD_PATTERN))  # a filter on the size would count words twice
+    plan = durable(cuts(durable(ready.select("source", "size", "key", "tie"), "keys")), "cuts")
+    rows = _meet(ready, plan)
+    here = F.coalesce((F.col("key") == F.col("cut_key")) & (F.col("tie") == F.col("cut_tie")) & (F.col("ties") < F.col("times")), F.lit(False))
+    before = F.coalesce((F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("tie") <= F.col("cut_tie"))), F.lit(False))
+    out = rows.withColumn("copies", F.col("epochs") + (before & ~here).cast("long")).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row")
+    if not plan.where("ties < times").isEmpty():
+        alike = rows.where(here).groupBy("row").agg(F.max("ties").alias("ties"))
+        out = out.union(alike.select("row", F.explode(F.sequence(F.lit(1), F.col("ties"))).alias("copy")).select("row"))
+    return out.select("row.*")
 
 
 ORACLE = r"""
