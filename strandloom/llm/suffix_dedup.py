@@ -3,9 +3,11 @@
 1. Anchors.  In each 200-byte window of a text the 32-byte string of least hash is the
    window's anchor (the leftmost of equals), so equal windows have equal anchors at equal
    offsets.  Runs of windows with one anchor make one row: anchor hash, the hash of all the
-   bytes its windows span (the context), document key, place.
+   bytes its windows span (the context), document key, place.  Contexts and documents are
+   named by 128 bits: among 10**13 contexts the chance that any two meet is about 10**-13.
 2. Anchors that occur once cannot hold a repeated window; they go.  A context that occurs
-   twice is repeated throughout.  Both come from partial aggregates.
+   twice is repeated throughout.  Both come from partial aggregates; rows of very frequent
+   anchors and contexts meet them by broadcast, so no task gathers them.
 3. Anchors with several contexts: one copy of each context goes to a run-length index
    (``runindex``) by anchor; overlapping contexts of one document are joined first, so each
    byte stands once.  Its matching statistics tell which windows start elsewhere.  Anchors
@@ -29,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, durable, table
+from .common import bound_batches, discard, durable, spread_join, table
 from .runindex import RunIndex
 
 WINDOW = 200
@@ -71,7 +73,18 @@ def anchor_rows(text: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tup
     return h[place[head]], place[head], first[head], np.diff(np.append(head, len(first)))
 
 
-def _chunks(rows: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
+def context_keys(body: bytes, at: int) -> tuple[int, int]:
+    """Two words that name the bytes of a context and where its anchor stands in it."""
+    h = xxhash.xxh3_128_intdigest(body, at)
+    return h & (1 << 64) - 1, h >> 64
+
+
+def text_keys(body: Column) -> tuple[Column, Column]:
+    """Two words that name a text."""
+    return F.xxhash64(F.lit(1), body), F.xxhash64(F.lit(2), body)
+
+
+def _chunks(rows: Iterator[tuple[tuple[int, int], bytes]]) -> Iterator[list[tuple[tuple[int, int], int, bytes]]]:
     """Groups of (key, first byte, bytes) of at most ``_CHUNK`` bytes; longer texts are cut into
     pieces that overlap by a window less one byte."""
     held, size = [], 0
@@ -90,32 +103,33 @@ def _chunks(rows: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int,
 
 
 def anchors(texts: DataFrame) -> DataFrame:
-    """(d, anchor, context, first, windows) of the rows (d, body) of ``texts``."""
+    """(d, e, anchor, context, more, first, windows) of the rows (d, e, body) of ``texts``; context
+    and more name the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = ((k, x.as_py()) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+            rows = ((k, x.as_py()) for k, x in zip(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True), batch.column(2), strict=True))
             for group in _chunks((k, x) for k, x in rows if len(x) >= WINDOW):
                 whole = b"".join(x for _, _, x in group)
                 ends = np.cumsum([len(x) for _, _, x in group])
                 h, place, first, count = anchor_rows(np.frombuffer(whole, np.uint8), ends)
                 owner = np.searchsorted(ends, first, side="right")
                 base = np.array([a for _, a, _ in group])[owner] - np.concatenate([[0], ends[:-1]])[owner]
-                digest = xxhash.xxh3_64_intdigest
-                context = np.fromiter((digest(whole[s : s + c + WINDOW - 1], p - s) for p, s, c in zip(place.tolist(), first.tolist(), count.tolist(), strict=True)), np.uint64, len(h))
-                d = np.array([k for k, _, _ in group], np.int64)[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(first + base), pa.array(count.astype(np.int32))], names=["d", "anchor", "context", "first", "windows"])
+                context = np.array([context_keys(whole[s : s + c + WINDOW - 1], p - s) for p, s, c in zip(place.tolist(), first.tolist(), count.tolist(), strict=True)], np.uint64).reshape(-1, 2).view(np.int64)
+                key = np.array([k for k, _, _ in group], np.int64)[owner]
+                made = [key[:, 0], key[:, 1], h.view(np.int64), context[:, 0], context[:, 1], first + base, count.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["d", "e", "anchor", "context", "more", "first", "windows"])
 
-    return texts.mapInArrow(run, "d long, anchor long, context long, first long, windows int")
+    return texts.mapInArrow(run, "d long, e long, anchor long, context long, more long, first long, windows int")
 
 
 def index_windows(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray]]:
-    """The rows (d, first, windows, body) in text order, and for each a mask over its windows:
+    """The rows (d, e, first, windows, body) in text order, and for each a mask over its windows:
     which start elsewhere in the group."""
-    pdf = pdf.sort_values(["d", "first"], kind="stable")
+    pdf = pdf.sort_values(["d", "e", "first"], kind="stable")
     pieces, ends, at = [], [], []
     size, open_d, open_end = 0, None, 0
-    for d, first, body in zip(pdf["d"].tolist(), pdf["first"].tolist(), pdf["body"].tolist(), strict=True):
+    for d, first, body in zip(zip(pdf["d"].tolist(), pdf["e"].tolist(), strict=True), pdf["first"].tolist(), pdf["body"].tolist(), strict=True):
         if d == open_d and first < open_end:
             at.append(size - (open_end - first))
             body = body[open_end - first :]
@@ -139,41 +153,45 @@ def _ranges(mask: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
-    """(d, ranges): byte ranges, first and end, that repeated windows cover, for the rows
-    (d, body) of ``texts``.  Ranges of a document may touch or overlap."""
-    rows = durable(anchors(texts), "anchors")
-    place = F.xxhash64("d", "first")
-    twice = rows.groupBy("anchor").agg(F.min(place).alias("o1"), F.max(place).alias("o2")).where("o1 < o2").select("anchor")
-    rows = durable(rows.join(twice, "anchor", "left_semi"), "shared-anchors")
+    """(d, e, ranges): byte ranges, first and end, that repeated windows cover, for the rows
+    (d, e, body) of ``texts``.  Ranges of a document may touch or overlap."""
+    name, own = ["anchor", "context", "more"], ["d", "e"]
+    found = durable(anchors(texts), "anchors")
+    n = found.count()
+    place = F.xxhash64("d", "e", "first")
+    twice = found.groupBy("anchor").agg(F.min(place).alias("o1"), F.max(place).alias("o2"), F.count("*").alias("times")).where("o1 < o2").select("anchor", "times")
+    rows = durable(spread_join(found, twice, ["anchor"], "times", n).drop("times"), "shared-anchors")
+    discard(found)
     n = rows.count()
-    contexts = rows.groupBy("anchor", "context").agg(F.min(place).alias("o1"), F.max(place).alias("o2"), F.min(F.struct("d", "first", "windows")).alias("one"))
-    contexts = durable(contexts.select("anchor", "context", (F.col("o1") < F.col("o2")).alias("whole"), "one.*"), "contexts", n)
+    contexts = rows.groupBy(*name).agg(F.min(place).alias("o1"), F.max(place).alias("o2"), F.count("*").alias("times"), F.min(F.struct("d", "e", "first", "windows")).alias("one"))
+    contexts = durable(contexts.select(*name, (F.col("o1") < F.col("o2")).alias("whole"), "times", "one.*"), "contexts", n)
     mixed = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    asked = contexts.join(mixed, "anchor").withColumn("salts", F.ceil(F.col("n") / HOT).cast("int"))
+    asked = spread_join(contexts.drop("times"), mixed, ["anchor"], "n", n).withColumn("salts", F.ceil(F.col("n") / HOT).cast("int"))
     asked = durable(asked.withColumn("salt", F.pmod("context", F.col("salts")).cast("int")), "asked", n)
     total = asked.agg(F.sum(F.col("windows") + WINDOW - 1)).first()[0] or 0
     groups = max(1, -(-total // INDEX_BYTES))
-    wanted = asked.groupBy("d").agg(F.collect_list(F.struct("anchor", "context", "first", "windows", "whole", "salts", "salt")).alias("wanted"))
+    cell = [*name, "first", "windows", "whole", "salts", "salt"]
+    wanted = asked.groupBy(*own).agg(F.collect_list(F.struct(*cell)).alias("wanted"))
     unpack = zstandard.ZstdDecompressor
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "context", "first", "windows", "whole", "salts", "salt"]
         for batch in batches:
             for r in range(batch.num_rows):
                 body, cells = unpack().decompress(batch.column("packed")[r].as_py()), batch.column("wanted")[r].values
                 cells = pa.RecordBatch.from_struct_array(cells)
                 first, windows = cells.column("first").to_pylist(), cells.column("windows").to_pylist()
                 parts = [body[a : a + w + WINDOW - 1] for a, w in zip(first, windows, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("d")[r], len(parts)), pa.array(parts, pa.binary()), *(cells.column(c) for c in names)], names=["d", "body", *names])
+                keys = [pa.repeat(batch.column(c)[r], len(parts)) for c in own]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(parts, pa.binary()), *(cells.column(c) for c in cell)], names=[*own, "body", *cell])
 
-    one_each = packed(texts).dropDuplicates(["d"])
-    cells = one_each.join(wanted, "d").mapInArrow(cut, "d long, body binary, anchor long, context long, first long, windows int, whole boolean, salts int, salt int")
+    one_each = packed(texts).dropDuplicates(own)
+    cells = one_each.join(wanted, own).mapInArrow(cut, "d long, e long, body binary, anchor long, context long, more long, first long, windows int, whole boolean, salts int, salt int")
     group = F.when(F.col("salts") == 1, F.pmod("anchor", F.lit(groups))).otherwise(F.xxhash64("anchor", "salt"))
 
     def look_up(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, masks = index_windows(pdf)
         found = [_ranges(m) for m in masks]
-        out = pdf[["anchor", "context"]].copy()
+        out = pdf[name].copy()
         out["lo"], out["hi"] = [f[0] for f in found], [f[1] for f in found]
         # windows of split anchors may match in another index
         loose = []
@@ -183,37 +201,35 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         out["loose"] = loose
         return out
 
-    looked = cells.withColumn("group", group).groupBy("group").applyInPandas(look_up, "anchor long, context long, lo array<int>, hi array<int>, loose array<binary>")
+    looked = cells.withColumn("group", group).groupBy("group").applyInPandas(look_up, "anchor long, context long, more long, lo array<int>, hi array<int>, loose array<binary>")
     looked = durable(looked, "looked-up")
-    loose = looked.select("anchor", "context", F.posexplode("loose").alias("at", "hash"))
-    met = loose.groupBy("hash").agg(F.min("context").alias("c1"), F.max("context").alias("c2")).where("c1 < c2").select("hash")
+    loose = looked.select(*name, F.posexplode("loose").alias("at", "hash"))
+    here = F.struct("context", "more")
+    met = loose.groupBy("hash").agg(F.min(here).alias("c1"), F.max(here).alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("hash", "n")
     span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
-    crossed = loose.join(met, "hash").groupBy("anchor", "context").agg(F.collect_list(span(F.col("at"), F.col("at") + 1)).alias("parts"))
-    partial = looked.select("anchor", "context", F.transform(F.arrays_zip("lo", "hi"), lambda r: span(r["lo"], r["hi"])).alias("parts")).where(F.size("parts") > 0)
-    partial = partial.unionByName(crossed).groupBy("anchor", "context").agg(F.flatten(F.collect_list("parts")).alias("parts"))
-    full = contexts.where("whole").select("anchor", "context", F.array(span(F.lit(0), F.col("windows"))).alias("parts"))
-    partial = partial.join(full, ["anchor", "context"], "left_anti").unionByName(full)
-    hits = rows.select("d", "anchor", "context", "first").join(partial, ["anchor", "context"])
+    crossed = spread_join(loose, met, ["hash"], "n", n).groupBy(*name).agg(F.collect_list(span(F.col("at"), F.col("at") + 1)).alias("parts"))
+    partial = looked.select(*name, F.transform(F.arrays_zip("lo", "hi"), lambda r: span(r["lo"], r["hi"])).alias("parts")).where(F.size("parts") > 0)
+    partial = partial.unionByName(crossed).groupBy(*name).agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    # contexts of anchors with one context alone were not looked up
+    known = contexts.select(*name, "times", "whole", F.array(span(F.lit(0), F.col("windows"))).alias("all")).join(partial, name, "left")
+    known = known.select(*name, "times", F.when(F.col("whole"), F.col("all")).otherwise(F.col("parts")).alias("parts")).where("parts is not null")
+    known = durable(known, "known")
+    hits = spread_join(rows.select(*own, *name, "first"), known, name, "times", n)
     placed = F.transform("parts", lambda p: F.struct((F.col("first") + p["lo"]).alias("lo"), (F.col("first") + p["hi"] + WINDOW - 1).alias("hi")))
-    ranges = hits.select("d", placed.alias("r")).groupBy("d").agg(F.flatten(F.collect_set("r")).alias("ranges"))
+    ranges = durable(hits.select(*own, placed.alias("r")).groupBy(*own).agg(F.flatten(F.collect_set("r")).alias("ranges")), "ranges")
+    discard(rows, contexts, asked, looked, known)
     return ranges
 
 
 def packed(texts: DataFrame) -> DataFrame:
-    """(d, packed): bodies compressed, for the shuffle."""
+    """(d, e, packed): bodies compressed, for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(x.as_py()) for x in batch.column(1)], pa.binary())], names=["d", "packed"])
-
-    return texts.mapInArrow(run, "d long, packed binary")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack.compress(x.as_py()) for x in batch.column(2)], pa.binary())], names=["d", "e", "packed"])
 
-
-def keyed(docs: DataFrame, *carried: str | Column) -> DataFrame:
-    """Rows with their body and text key, and ``carried`` columns."""
-    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return docs.select(F.xxhash64(body).alias("d"), body.alias("body"), *carried)
+    return texts.mapInArrow(run, "d long, e long, packed binary")
 
 
 def cut_repeats(docs: DataFrame, *carried: str | Column, text: bool = False) -> DataFrame:
@@ -224,15 +240,18 @@ def cut_repeats(docs: DataFrame, *carried: str | Column, text: bool = False) ->
     other columns are carried; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    all_rows = keyed(docs, *carried)
-    long_rows = all_rows.where(F.octet_length("body") >= WINDOW).select("d", "body")
-    ranges = durable(repeated_ranges(long_rows), "ranges")
-    copies = long_rows.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d", F.lit(True).alias("copied"))
-    verdict = durable(ranges.join(copies, "d", "full"), "verdicts")
-
-    names = [c for c in all_rows.columns if c not in ("d", "body")]
-    ask = F.struct(*names) if names else F.struct(F.lit(0).alias("none"))
-    ready = all_rows.select("d", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha"), ask.alias("row"), "body")
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    d, e = text_keys(body)
+    names = docs.select(*carried).columns
+    ask = F.struct(*carried) if names else F.struct(F.lit(0).alias("none"))
+    all_rows = docs.select(ask.alias("row"), d.alias("d"), e.alias("e"), body.alias("body"))
+    long_rows = all_rows.where(F.octet_length("body") >= WINDOW).select("d", "e", "body")
+    ranges = repeated_ranges(long_rows)
+    copies = long_rows.groupBy("d", "e").agg(F.count("*").alias("n")).where("n > 1").select("d", "e", F.lit(True).alias("copied"))
+    verdict = durable(ranges.join(copies, ["d", "e"], "full"), "verdicts")
+    discard(ranges)
+
+    ready = all_rows.select("d", "e", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha"), "row", "body")
 
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = zstandard.ZstdCompressor(level=1)
@@ -240,7 +259,7 @@ def cut_repeats(docs: DataFrame, *carried: str | Column, text: bool = False) ->
             yield pd.Series([c.compress(x) for x in bodies])
 
     ready = ready.withColumn("packed", F.pandas_udf(pack, "binary")(F.col("body"))).drop("body")
-    joined = ready.join(verdict, "d", "left")
+    joined = ready.join(verdict, ["d", "e"], "left")
     whole = F.coalesce("copied", F.lit(False))
     cut = (F.col("ranges").isNotNull()) & ~whole
     schema = "n_removed long, n_spans long, sha string, kept_bytes binary"
@@ -278,16 +297,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without repeated passages.  A character that a cut splits goes too."""
-    others = [F.col(c) for c in docs.columns if c != "text"]
+    """The documents without repeated passages, all rows and columns.
+
+    A character that a cut splits goes too.  n_chars, if there, follows a text that was cut.
+    Null texts stay null; of rows that repeat a text of 200 bytes or more all texts are emptied;
+    an empty table stays empty.
+    """
 
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for bodies in batches:
             yield pd.Series([bytes(x).decode("utf-8", "ignore") for x in bodies], dtype=object)
 
-    cut = cut_repeats(docs, *others, F.col("text").isNull().alias("was_null"), text=True)
-    text = F.when(~F.col("was_null"), F.pandas_udf(decode, "string")(F.col("kept_bytes")))
-    cut = cut.withColumn("text", text)
+    # the text travels compressed; in its place the row says whether it was null
+    cut = cut_repeats(docs, F.struct(*[F.col("text").isNull().alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("doc"), text=True)
+    doc = F.col("doc")
+    text = F.when(~doc["text"], F.pandas_udf(decode, "string")(F.col("kept_bytes")))
+    cut = cut.select("doc", "n_removed", text.alias("cut_text"))
+    made = {"text": F.col("cut_text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("cut_text").cast("long")).otherwise(doc["n_chars"])
+    return cut.select(*[(made[c] if c in made else doc[c]).alias(c) for c in docs.columns])
