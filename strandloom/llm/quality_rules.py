@@ -3,8 +3,9 @@
 The classifier is logistic regression over hashed word 1- and 2-grams and character 2-, 3-
 and 4-grams.  The feature of a bucket is its share of the n-grams of its kind, so the
 margin is the bias plus, for each kind, the mean weight of the text's n-grams: scoring is
-a gather and a mean.  It is trained on at most ``SAMPLE_ROWS`` labelled documents; a fifth
-of them is set aside to calibrate the margin into a probability by a logistic curve.
+a gather and a mean.  It is trained on at most ``SAMPLE_ROWS`` labelled documents, in one
+task of an executor; a fifth of them is set aside to calibrate the margin into a probability
+by a logistic curve.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from .common import bound_batches, table
 from .labelled import labelled_sample
 from .textstats import base_counts, byte_counts, number_words
 
-SAMPLE_ROWS = 1_200
+SAMPLE_ROWS = 16_000
 BITS = 16
 LEAST_WORDS, MOST_REPEATED = 20, 30  # words; per cent
 THRESHOLD = 0.3
 STEPS, RATE, MOMENTUM, RIDGE = 40, 2.0, 0.9, 1e-4
+FIT_BLOCK = 512
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _codes: dict[bytes, int] = {}
@@ -76,30 +78,47 @@ def fit(texts: list[bytes], y: np.ndarray) -> NgramModel:
     size = 1 << BITS
     if len(y) == 0 or y.min() == y.max():
         return NgramModel(np.zeros((2, size), np.float32), 10.0 if len(y) == 0 or y[0] else -10.0)
-    cells, shares, lengths = [], [], []
-    for data in texts:
-        found = [np.unique(b + size * kind, return_counts=True) for kind, b in enumerate(ngram_buckets(data, data.split())) if len(b)]
-        cells += [c.astype(np.int32) for c, _ in found]
-        shares += [(n / n.sum()).astype(np.float32) for _, n in found]
-        lengths.append(sum(len(c) for c, _ in found))
-    cell, share, row = np.concatenate(cells), np.concatenate(shares), np.repeat(np.arange(len(y), dtype=np.int32), lengths)
-    del cells, shares
+    blocks, lengths, squares, norm = [], [], np.zeros(2 * size), 0.0  # of ``FIT_BLOCK`` texts each
+    for a in range(0, len(texts), FIT_BLOCK):
+        cells, shares, held = [], [], []
+        for data in texts[a : a + FIT_BLOCK]:
+            found = [np.unique(b + size * kind, return_counts=True) for kind, b in enumerate(ngram_buckets(data, data.split())) if len(b)]
+            cells += [c.astype(np.int32) for c, _ in found]
+            shares += [(n / n.sum()).astype(np.float32) for _, n in found]
+            held.append(sum(len(c) for c, _ in found))
+        blocks.append((np.concatenate([*cells, np.zeros(0, np.int32)]), np.concatenate([*shares, np.zeros(0, np.float32)])))
+        lengths.append(np.array(held))
+        squares += np.bincount(blocks[-1][0], blocks[-1][1].astype(np.float64) ** 2, 2 * size)
     tuned = np.arange(len(y)) % 5 == 4
     train = np.where(tuned, 0.0, np.where(y == 1, 0.5 / max(1, (y[~tuned] == 1).sum()), 0.5 / max(1, (y[~tuned] == 0).sum())))
     # columns are brought to one scale, so that rare and frequent n-grams learn alike
-    scale = np.sqrt(np.bincount(cell, share.astype(np.float64) ** 2, 2 * size) / len(y))
-    share = share / np.maximum(scale, 1e-3 * scale.max())[cell]
+    scale = np.sqrt(squares / len(y))
+    scale = np.maximum(scale, 1e-3 * scale.max() + 1e-30)
+    for cell, share in blocks:
+        share /= scale.astype(np.float32)[cell]
+        norm += float(share @ share) / len(y)
     w, speed, bias, bias_speed = np.zeros(2 * size), np.zeros(2 * size), 0.0, 0.0
-    norm = np.bincount(row, share**2, len(y)).mean()
+
+    def margins(k: int) -> np.ndarray:
+        cell, share = blocks[k]
+        out, full = np.full(len(lengths[k]), bias), lengths[k] > 0
+        if full.any():
+            out[full] += np.add.reduceat(w.astype(np.float32)[cell] * share, (np.cumsum(lengths[k]) - lengths[k])[full])
+        return out
+
     for _ in range(STEPS):
-        z = np.bincount(row, w[cell] * share, len(y)) + bias
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * train
-        speed = MOMENTUM * speed - RATE / norm * (np.bincount(cell, e[row] * share, 2 * size) + RIDGE * w)
-        bias_speed = MOMENTUM * bias_speed - RATE * e.sum() / 4
+        slope, lean = np.zeros(2 * size), 0.0
+        for k, (cell, share) in enumerate(blocks):
+            here = slice(k * FIT_BLOCK, k * FIT_BLOCK + len(lengths[k]))
+            e = (1 / (1 + np.exp(-np.clip(margins(k), -30, 30))) - y[here]) * train[here]
+            slope += np.bincount(cell, np.repeat(e.astype(np.float32), lengths[k]) * share, 2 * size)
+            lean += e.sum()
+        speed = MOMENTUM * speed - RATE / norm * (slope + RIDGE * w)
+        bias_speed = MOMENTUM * bias_speed - RATE * lean / 4
         w, bias = w + speed, bias + bias_speed
-    z = np.bincount(row, w[cell] * share, len(y)) + bias
+    z = np.concatenate([margins(k) for k in range(len(blocks))])
     slope, shift = calibrate(z[tuned], y[tuned])
-    return NgramModel((w / np.maximum(scale, 1e-3 * scale.max())).reshape(2, size).astype(np.float32), float(bias), slope, shift)
+    return NgramModel((w / scale).reshape(2, size).astype(np.float32), float(bias), slope, shift)
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -117,10 +136,21 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> NgramModel:
-    sample = labelled_sample(docs, labels, label, rows).toPandas()
-    order = np.lexsort((sample["doc_id"].to_numpy() * 2654435761 % 2**32,)) if len(sample) else []
-    sample = sample.iloc[order]
-    return fit([bytes(x) if x is not None else b"" for x in sample["text"]], sample["label"].to_numpy(np.float64))
+    """The model of at most ``rows`` labelled documents; one task of an executor fits it, and only
+    the weights reach the driver."""
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(d * 2654435761 % 2**32, d, bytes(t) if t is not None else b"", y) for pdf in batches for d, t, y in zip(pdf["doc_id"], pdf["text"], pdf["label"], strict=True)]
+        rows.sort()
+        m = fit([r[2] for r in rows], np.array([r[3] for r in rows], np.float64))
+        yield pd.DataFrame({"weights": [m.weights.tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
+
+    bound_batches(docs.sparkSession)
+    sample = labelled_sample(docs, labels, label, rows).repartition(1)
+    found = sample.mapInPandas(train, "weights binary, bias double, slope double, shift double").first()
+    if found is None:  # no rows, so no task
+        return fit([], np.zeros(0))
+    return NgramModel(np.frombuffer(found.weights, np.float32).reshape(2, -1), found.bias, found.slope, found.shift)
 
 
 def judge(docs: DataFrame, model: NgramModel, threshold: float = THRESHOLD) -> DataFrame:
