@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import mixing, quality_rules, suffix_dedup
+from strandloom.llm import mixing, packing, quality_rules, suffix_dedup
 
 CLASHES = "d e body row was_null kept_bytes size key tie slice source_size target cut_key ranges sha packed n rep comp probability kept i0 k1 text_ copies times ties".split()
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
@@ -121,3 +122,44 @@ def test_suffix_dedup_survives_collisions_of_half_a_key(spark, monkeypatch, part
     assert Counter(map(tuple, suffix_dedup.cut_repeats(docs, "doc_id").collect())) == want
 
 
+
+
+def test_packing_does_not_depend_on_the_split(spark):
+    """Tiny documents fill one sequence, however many tasks read them; short windows add up."""
+    docs = spark.createDataFrame([(k, "a few words " * (1 + k % 3)) for k in range(16)], "doc_id long, text string")
+    for parts in (1, 4, 16):
+        got = packing.pack(docs.repartition(parts)).collect()
+        assert len({r.sequence_id for r in got}) == 1 and sorted(r.doc_id for r in got) == list(range(16))
+        at = 0
+        for r in sorted(got, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+
+
+def test_first_fit():
+    rnd = random.Random(5)
+    for n in (0, 1, 2, 50, 300):
+        sizes, names = [rnd.randrange(1, 100) for _ in range(n)], rnd.sample(range(10_000), n)
+        into, shift = packing.first_fit(sizes, names, 100)
+        windows = {}
+        for s, home, at in zip(sizes, into, shift, strict=True):
+            windows.setdefault(home, []).append((at, at + s))
+        assert set(windows) <= set(names) and all(names[k] == into[k] for k in range(n) if shift[k] == 0)
+        for spans in windows.values():
+            spans.sort()
+            assert spans[0][0] == 0 and spans[-1][1] <= 100 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert len(windows) <= 1.3 * sum(sizes) / 100 + 1
+
+
+def test_sentences_are_cut_only_where_they_are_long():
+    rnd = random.Random(6)
+    at, docs, sentences = 0, [], []
+    for _ in range(400):
+        for _ in range(rnd.randrange(1, 12)):
+            at += rnd.randrange(5, 60)
+            sentences.append(at)
+        docs.append(at)
+    positions, penalties = packing.candidate_cuts(np.array(docs), np.array(sentences))
+    chosen = positions[packing.plan_cuts(positions.tolist(), penalties.tolist(), 2048)]
+    assert set(chosen.tolist()) <= {0, *docs, *sentences}
+    assert (len(chosen) - 1) * 2048 < 1.03 * at + 2048
