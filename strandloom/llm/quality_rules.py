@@ -10,6 +10,8 @@ by a logistic curve.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ from .common import bound_batches, table
 from .labelled import labelled_sample
 from .textstats import base_counts, byte_counts, number_words
 
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 4_000
 BITS = 16
 LEAST_WORDS, MOST_REPEATED = 20, 30  # words; per cent
 THRESHOLD = 0.3
@@ -143,6 +145,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows:
         rows = [(d * 2654435761 % 2**32, d, bytes(t) if t is not None else b"", y) for pdf in batches for d, t, y in zip(pdf["doc_id"], pdf["text"], pdf["label"], strict=True)]
         rows.sort()
         m = fit([r[2] for r in rows], np.array([r[3] for r in rows], np.float64))
+        del rows
+        with contextlib.suppress(OSError, AttributeError):  # the worker lives on: give its memory back
+            ctypes.CDLL(None).malloc_trim(0)
         yield pd.DataFrame({"weights": [m.weights.tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
     bound_batches(docs.sparkSession)
