@@ -38,9 +38,10 @@ def durable(df: DataFrame, what: str, rows: int | None = None, width: int = 64)
     """Write ``df`` to the shared folder and read it back: lineage ends here, and the rows
     outlive the executors that made them.  About ``rows`` rows of ``width`` bytes, where that is
     known, are dealt to files of ``FILE_BYTES`` by a shuffle of the rows made, which leaves the
-    stage that makes them as wide as it is; each file costs a process or two on local disks."""
+    stage that makes them as wide as it is; each file costs a process or two on local disks.
+    Tables that fill a quarter of the shuffle's partitions are written as they come."""
     spark = df.sparkSession
-    if rows is not None and (files := max(1, -(-rows * width // FILE_BYTES))) < shuffle_width(spark):
+    if rows is not None and 4 * (files := max(1, -(-rows * width // FILE_BYTES))) <= shuffle_width(spark):
         df = df.repartition(files)
     path = f"{shared_dir(spark)}/strandloom/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)  # zstd keeps much memory outside the heap

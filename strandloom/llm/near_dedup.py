@@ -169,7 +169,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, size: int, per_cent: int) ->
 
 
 def _across(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What buckets of (key, rep, comp) that hold several components leave to compare: pairs
+    """What buckets of (key, band, rep, comp) that hold several components leave to compare: pairs
     (a, b) of small buckets, cells of large ones, and (main, rep): documents to hold against all
     members of the component ``main``."""
     about = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
@@ -186,25 +186,31 @@ def _across(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     minor = large.join(main, "key").where("comp <> main")
     asks = minor.select("main", "rep").distinct()
     here, there = (F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows_of = minor.select("key", here.alias("i"), there.alias("j"), F.lit(False).alias("asks"), "rep", "comp")
-    cells = rows_of.unionByName(minor.select("key", there.alias("i"), here.alias("j"), F.lit(True).alias("asks"), "rep", "comp"))
+    rows_of = minor.select("key", "band", here.alias("i"), there.alias("j"), F.lit(False).alias("asks"), "rep", "comp")
+    cells = rows_of.unionByName(minor.select("key", "band", there.alias("i"), here.alias("j"), F.lit(True).alias("asks"), "rep", "comp"))
     return pairs, cells, asks
 
 
 def _block_pairs(cells: DataFrame, reps: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs of the blocks that their registers allow."""
+    """Pairs of the blocks that their registers allow.
+
+    A pair leaves the first bucket that it shares only: what two documents are in the earlier
+    bucket, a pair of a small one, of a block, or one of them in the largest component, has them
+    compared there."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         asks = pdf["asks"].to_numpy(bool)
         rep, comp, n = (pdf[c].to_numpy() for c in ("rep", "comp", "n"))
         regs = np.frombuffer(b"".join(pdf["registers"]), np.uint16).reshape(-1, REGISTERS)
+        bands = regs.reshape(-1, BANDS, ROWS)[:, : int(pdf["band"].iloc[0])]
         rest, a, b = np.flatnonzero(~asks), [], []
         for k in np.flatnonzero(asks):
             can = rest[(comp[rest] != comp[k]) & (rep[rest] < rep[k]) & (100 * np.minimum(n[rest], n[k]) >= per_cent * np.maximum(n[rest], n[k]))]
             if len(can):
                 j = jaccard_estimate(regs[can], regs[k : k + 1], n[can], np.full(len(can), n[k]))
                 hit = can[j >= per_cent / 100 - MARGIN]
+                hit = hit[~(bands[hit] == bands[k]).all(2).any(1)]
                 a.append(np.minimum(rep[hit], rep[k]))
                 b.append(np.maximum(rep[hit], rep[k]))
         return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
@@ -323,7 +329,7 @@ def _components(docs: DataFrame, size: int, per_cent: int, carried: tuple[str, .
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         settle(estimated(pairs, reps, per_cent))
-    still_open = durable(labelled(members).select("key", "rep", "comp"), "open", 8 * n_docs, 24)
+    still_open = durable(labelled(members).select("key", "band", "rep", "comp"), "open", 8 * n_docs, 24)
     small, cells, asks = _across(still_open)
     # written first: a pair may share 40 buckets, and the optimiser would test it before it is made distinct
     fresh = lambda pairs: durable(pairs.distinct(), "pairs", n_docs, 20).join(tested.select("a", "b"), ["a", "b"], "left_anti")
