@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
@@ -15,9 +17,7 @@ KEY = ("chrom", "start", "end", "strand")
 
 def intron_multiset(aln: DataFrame, *more: str) -> DataFrame:
     """(more..., chrom, start, end, strand '.', mult): every skip of every mapped record."""
-    ops = C.operations(F.col("cigar"))
-    found = mapped(aln).where(F.col("cigar").contains("N")).select(*more, "chrom", F.explode(C.introns(F.col("pos0"), ops)).alias("i"))
-    return found.groupBy(*more, "chrom", F.col("i.start").alias("start"), F.col("i.end").alias("end")).agg(F.count("*").alias("mult")).withColumn("strand", F.lit(".")).select(*more, *KEY, "mult")
+    return _walked(mapped(aln).where(F.col("cigar").contains("N")), lambda ops: C.introns(F.lit(0).cast("long"), ops), *more)
 
 
 def merge(*sets: DataFrame) -> DataFrame:
@@ -62,11 +62,20 @@ def resolve_new(introns: DataFrame, cache: DataFrame, chunks: DataFrame, chunk:
 
 
 def hint_multiset(aln: DataFrame) -> DataFrame:
-    """Introns that pass the hint rules; alignments without a long gap are never walked."""
-    ops = C.operations(F.col("cigar"))
-    rows = aln.where(F.col("chrom").isNotNull() & F.col("cigar").rlike("[DN]")).select("chrom", "pos0", ops.alias("ops")).where(C.has_long_gap(F.col("ops")))
-    found = rows.select("chrom", F.explode(C.hint_introns(F.col("pos0"), F.col("ops"))).alias("i"))
-    return found.groupBy("chrom", F.col("i.start").alias("start"), F.col("i.end").alias("end")).agg(F.count("*").alias("mult")).withColumn("strand", F.lit(".")).select(*KEY, "mult")
+    """Introns that pass the hint rules; alignments without a long gap are never walked, and of
+    alike alignments, and of equal CIGARs at different places, one is."""
+    rows = aln.where(F.col("chrom").isNotNull() & F.col("cigar").rlike("[DN]"))
+    return _walked(rows, lambda ops: F.when(C.has_long_gap(ops), C.hint_introns(F.lit(0).cast("long"), ops)))
+
+
+def _walked(rows: DataFrame, walk: Callable[[Column], Column], *more: str) -> DataFrame:
+    """Multiset of the introns that ``walk`` finds from operations at place 0: a walk depends on
+    the CIGAR alone, so each distinct one is walked once and its spans move to where it stands."""
+    alike = rows.groupBy(*more, "chrom", "pos0", "cigar").agg(F.count("*").alias("n"))
+    walks = rows.select("cigar").distinct().select("cigar", C.operations(F.col("cigar")).alias("ops"))
+    walks = walks.select("cigar", F.explode(walk(F.col("ops"))).alias("i"))
+    found = alike.join(walks, "cigar").select(*more, "chrom", (F.col("pos0") + F.col("i.start")).alias("start"), (F.col("pos0") + F.col("i.end")).alias("end"), "n")
+    return found.groupBy(*more, "chrom", "start", "end").agg(F.sum("n").alias("mult")).withColumn("strand", F.lit(".")).select(*more, *KEY, "mult")
 
 
 def at_least(introns: DataFrame, mult: int) -> DataFrame:

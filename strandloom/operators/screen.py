@@ -70,9 +70,10 @@ def divergence_values(records: DataFrame) -> DataFrame:
 
 
 def weighted_median(values: DataFrame, key: str = "acc") -> DataFrame:
-    """(key, median): the first value, by (value, weight), whose running weight reaches half."""
-    order = W.partitionBy(key).orderBy("v", "w").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = values.withColumns({"cw": F.sum("w").over(order), "total": F.sum("w").over(W.partitionBy(key))})
+    """(key, median): the first value, by (value, weight), whose running weight reaches half.
+    Weights of equal values are added first, so only distinct values of a key are sorted."""
+    order = W.partitionBy(key).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = values.groupBy(key, "v").agg(F.sum("w").alias("w")).withColumns({"cw": F.sum("w").over(order), "total": F.sum("w").over(W.partitionBy(key))})
     return rows.where(F.col("cw") >= F.col("total") / 2).groupBy(key).agg(F.min("v").alias("median"))
 
 
