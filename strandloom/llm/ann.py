@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by largest inner product: sharded robust-pruned graphs.
 
 Equal vectors form a class; only classes are indexed, so copies cost nothing and lose
-nothing.  Classes are dealt to shards by hash.  Each shard builds a directed graph: vectors
+nothing.  Classes are dealt to shards by norm, in ranges of a factor ``NORMS``, and in a range by
+hash: inside a shard the largest inner products are then nearly the nearest directions, which a
+graph finds, and no long vector hides the others.  Each shard builds a directed graph: vectors
 are inserted in growing batches, a greedy beam search from the entry point proposes
 neighbours, and relaxed pruning keeps a neighbour only if no kept one is closer to it by the
 factor ``ALPHA``.  One more coordinate turns inner products into distances for building.
 A beam search queries every shard; the candidates are scored in double precision, merged,
 and spread over the members of their classes.
 
-Shards hold about ``32 * sqrt(n)`` classes, ``LEAST_SHARD`` at least, so that the work of
+Shards hold up to about ``SHARD_ROOT * sqrt(n)`` classes, ``LEAST_SHARD`` at least, so that the work of
 searching all shards grows as n to the power 1.5 and a shard still fits a worker.  A row for
 the search holds one shard's graph and one block of ``BLOCK`` query vectors.
 """
@@ -30,7 +32,8 @@ from .common import durable, shuffle_width, table
 NEIGHBOURS = 20
 EVERY = 20
 DEGREE, SLACK, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 56, 56, 96, 1.2
-LEAST_SHARD, BLOCK, FIRST, BATCH = 8192, 1024, 256, 1024
+LEAST_SHARD, SHARD_ROOT, BLOCK, FIRST, BATCH = 8192, 32, 1024, 256, 1024
+NORMS = 1.1
 
 
 def beam_search(vectors: np.ndarray, links: np.ndarray, entry: int, queries: np.ndarray, beam: int, product: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +197,13 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = EVERY) -> D
     classes = durable(v.groupBy("e").agg(F.min("vec_id").alias("rep")), "classes")
     member = durable(v.join(classes, "e").select("rep", "vec_id"), "members")
     n = classes.count()
-    shards = math.ceil(n / max(LEAST_SHARD, int(32 * math.sqrt(n))))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda t, c: t + c.cast("double") * c.cast("double")))
+    classes = classes.withColumn("range", F.round(F.log(norm) / math.log(NORMS)).cast("int"))  # equal norms up to rounding share a range
+    # at most some 2,000 rows: as many ranges as the exponents of floats span
+    ranges = sorted((r["range"], math.ceil(r["count"] / max(LEAST_SHARD, int(SHARD_ROOT * math.sqrt(n))))) for r in classes.groupBy("range").count().collect())
+    starts = np.cumsum([0, *(p for _, p in ranges)]).tolist()
+    shards = starts[-1]
+    plan = spark.createDataFrame([(r, s, p) for (r, p), s in zip(ranges, starts, strict=False)], "range int, start int, parts int")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
@@ -202,7 +211,8 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = EVERY) -> D
         links, entry = build_graph(x)
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "links": [links.tobytes()], "entry": [entry]})
 
-    graphs = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, ids binary, vectors binary, links binary, entry int")
+    dealt = classes.join(F.broadcast(plan), "range").withColumn("shard", (F.col("start") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")).select("shard", "rep", "e")
+    graphs = dealt.groupBy("shard").applyInPandas(build, "shard int, ids binary, vectors binary, links binary, entry int")
     graphs = durable(graphs, "graphs")
     asked = member.where(F.col("vec_id") % every == 0)
     asked_classes = durable(classes.join(asked.select("rep").distinct(), "rep", "left_semi"), "asked")
