@@ -38,7 +38,7 @@ def parse_run_list(lines: DataFrame) -> DataFrame:
 
 def parse_run_pages(pages: DataFrame) -> DataFrame:
     """Runs of metadata pages (xml): one part for each DocSum; blank or zero spots go."""
-    doc = pages.select(F.explode(F.slice(F.split("xml", "<DocSum>"), 2, 1_000_000)).alias("d")).select(F.substring_index("d", "</DocSum>", 1).alias("d"))
+    doc = pages.select(F.explode(F.slice(F.split("xml", "<DocSum>"), 2, F.size(F.split("xml", "<DocSum>")))).alias("d")).select(F.substring_index("d", "</DocSum>", 1).alias("d"))
     d = F.col("d")
     quote = r"""(?:"|&quot;)"""
     lt = "(?:<|&lt;)"
@@ -62,7 +62,7 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
 def parse_sam(lines: DataFrame) -> DataFrame:
     """Alignment records of SAM text; '*' names are null, positions 0-based."""
     f = F.col("f")
-    tags = F.array_join(F.slice(f, 12, 1000), "\t")
+    tags = F.array_join(F.slice(f, 12, F.size(f)), "\t")
     tag = lambda t, kind: F.regexp_extract(tags, rf"(?:^|\t){t}:[if]:([^\t]+)", 1).try_cast(kind)
     name = lambda c: F.when(c != "*", c)
     rows = _fields(lines.where(~F.col("value").startswith("@"))).where(F.size(f) >= 11)
