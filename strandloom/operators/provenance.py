@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.order import running_sum
+
 
 def db_diff(old: DataFrame, new: DataFrame, version: int) -> DataFrame:
     """Log rows (version, op, line) that turn ``old`` into ``new``: removals and additions."""
@@ -29,13 +32,13 @@ def snapshots_of(batches: DataFrame, log: DataFrame) -> DataFrame:
     """(batch, n_lines) as of each batch's db_version: a running sum, not a range join."""
     change = log.groupBy("version").agg(F.sum(F.when(F.col("op") == "+", 1).otherwise(-1)).alias("d"))
     points = batches.select(F.col("db_version").alias("version")).distinct().withColumn("d", F.lit(0)).unionByName(change.withColumn("d", F.col("d").cast("int")))
-    sums = points.groupBy("version").agg(F.sum("d").alias("d")).select("version", F.sum("d").over(W.orderBy("version").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("n_lines"))
+    sums = running_sum(points.groupBy("version").agg(F.sum("d").alias("d")), "version", F.col("d"), "n_lines").select("version", "n_lines")
     return batches.join(sums, F.col("db_version") == F.col("version")).select("batch", "db_version", "n_lines")
 
 
 def running_version(changes: DataFrame) -> DataFrame:
     """(batch, version): the version grows by one whenever a batch changed the set."""
-    return changes.select("batch", F.sum(F.col("changed").cast("int")).over(W.orderBy("batch").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("version"))
+    return running_sum(changes, "batch", F.coalesce(F.col("changed"), F.lit(False)).cast("int"), "version").select("batch", "version")
 
 
 def compare_manifest(recorded: DataFrame, replayed: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -61,10 +64,20 @@ def transcript_fingerprint(gtf: DataFrame) -> DataFrame:
     exon = F.when(F.col("c2") == "exon", F.struct(F.col("c3").cast("long").alias("s"), F.concat_ws("-", "c3", "c4").alias("e")))
     t = rows.groupBy("tid").agg(F.first("c0").alias("chrom"), F.first("c6").alias("strand"), F.array_sort(F.collect_list(exon)).alias("exons"), F.max(F.when(F.col("c2") == "transcript", F.array_join(pairs, ";"))).alias("values"))
     line = F.concat_ws("\t", "chrom", "strand", F.array_join(F.transform("exons", lambda x: x["e"]), ","), F.coalesce("values", F.lit("")))
-    return t.agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary")).alias("fingerprint"))
+    return _md5_of(t.select(line.alias("line")).orderBy("line"))
 
 
 def content_md5(lines: DataFrame) -> DataFrame:
     """MD5 of the lines (value, line_no) that do not start with '#', in file order."""
-    kept = lines.where(~F.col("value").startswith("#")).agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("l"))
-    return kept.select(F.md5(F.concat(F.array_join(F.transform("l", lambda x: x["value"]), "\n"), F.when(F.size("l") > 0, "\n").otherwise("")).cast("binary")).alias("fingerprint"))
+    return _md5_of(lines.where(~F.col("value").startswith("#")).orderBy("line_no", "value").select("value"), end="\n")
+
+
+def _md5_of(lines: DataFrame, end: str = "") -> DataFrame:
+    """MD5 of sorted lines joined by newlines, with ``end`` after the last one.  The hash of a
+    file takes its bytes in turn, so the driver reads the lines, one range of the order at a time."""
+    digest, n = hashlib.md5(), 0
+    for row in lines.toLocalIterator():
+        digest.update((("\n" if n else "") + row[0]).encode())
+        n += 1
+    digest.update(end.encode() if n else b"")
+    return lines.sparkSession.createDataFrame([(digest.hexdigest(),)], "fingerprint string")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.genomics import batches_of, platform_fits
+from ..functions.order import running_sum
 
 
 def usable_runs(runs: DataFrame, long_reads: bool = False, paired_only: bool = False) -> DataFrame:
@@ -47,8 +48,8 @@ def refreshed_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
 
 def top_up(ordered: DataFrame, wanted: int) -> DataFrame:
     """Runs in order up to the one that makes ``wanted`` available ones; (position, accession, status)."""
-    seen = F.count_if(F.col("status") == "available").over(W.orderBy("position").rowsBetween(W.unboundedPreceding, -1))
-    return ordered.withColumn("before", F.coalesce(seen, F.lit(0))).where(F.col("before") < wanted).drop("before")
+    available = F.coalesce(F.col("status") == "available", F.lit(False)).cast("int")
+    return running_sum(ordered, "position", available, "before", own=False).where(F.col("before") < wanted).drop("before")
 
 
 def batch_ranges(runs: DataFrame, size: int) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.order import numbered
+
 PLACE = ["chrom", "start", "end", "strand"]
 
 
@@ -34,7 +35,8 @@ def splice_sites(introns: DataFrame) -> DataFrame:
 
 def junction_bed(introns: DataFrame) -> DataFrame:
     """BED12 of two one-base blocks around each intron; names number the written rows."""
-    rows = introns.where((F.col("strand") != ".") & (F.col("start") >= 2)).withColumn("k", F.row_number().over(W.orderBy(*PLACE)) - 1)
+    rows = introns.where((F.col("strand") != ".") & (F.col("start") >= 2))
+    rows = numbered(rows, {"_chrom": F.col("chrom"), "_part": F.floor(F.col("start") / (1 << 20))}, PLACE, "k")
     a, b = F.col("start") - 2, F.col("end") + 1
     return rows.orderBy("k").select(_line("\t", "chrom", a, b, F.concat(F.lit("junc"), F.col("k").cast("string")), F.least(F.col("mult"), F.lit(1000)), "strand", a, b, F.lit("0"), F.lit("2"), F.lit("1,1"), F.concat(F.lit("0,"), (b - a - 1).cast("string"))))
 

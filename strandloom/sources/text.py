@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.genomics import average_length
+from ..functions.order import carried, running_sum
 
 
 def _fields(df: DataFrame, sep: str = "\t") -> DataFrame:
@@ -113,7 +113,7 @@ def parse_fasta(lines: DataFrame) -> DataFrame:
     """(chrom, seq) of FASTA lines (line_no, value); joins the lines of one sequence."""
     head = F.col("value").startswith(">")
     name = F.regexp_extract("value", r"^>(\S+)", 1)
-    rows = lines.withColumn("chrom", F.last(F.when(head, name), ignorenulls=True).over(W.orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = carried(lines, "line_no", F.when(head, name), "chrom")
     parts = rows.where(~head & F.col("chrom").isNotNull()).groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("line_no", F.trim("value").alias("s")))).alias("p"))
     return parts.select("chrom", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"))
 
@@ -135,8 +135,7 @@ def contig_header(line: Column) -> tuple[Column, Column]:
 def parse_contigs(lines: DataFrame, acc: str) -> DataFrame:
     """(acc, idx, ka, len) of contig FASTA lines (line_no, value), numbered in file order."""
     head = F.col("value").startswith(">")
-    order = W.orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = lines.withColumn("idx", (F.count_if(head).over(order) - 1).cast("int")).where("idx >= 0")
+    rows = running_sum(lines, "line_no", head.cast("int"), "heads").where("heads > 0").withColumn("idx", (F.col("heads") - 1).cast("int"))
     return rows.groupBy("idx").agg(F.max(F.when(head, contig_header(F.col("value"))[1])).alias("ka"), F.sum(F.when(head, 0).otherwise(F.length(F.trim("value")))).cast("int").alias("len")).select(F.lit(acc).alias("acc"), "idx", "ka", "len")
 
 

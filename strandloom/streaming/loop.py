@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import deque
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -100,7 +101,42 @@ class RunState:
         return self.order
 
 
+def weighted_key(text: str, weight: float) -> float:
+    """Exponential variate of rate ``weight`` from a hash of the text."""
+    u = (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 1) / (16**13 + 1)
+    return -math.log(u) / max(weight, 1e-9)
+
+
+class Pool:
+    """Untouched runs that expect the same reads, and so share one profit.
+
+    Their order is drawn once, by exponential keys over their lengths: taken in turn they are a
+    length-weighted draw without replacement, and a step costs no pass over them."""
+
+    def __init__(self, factor: float, runs: list[RunState], seed: int):
+        self.factor, self.profit = factor, 0.0
+        self.order = sorted(runs, key=lambda r: (weighted_key(f"{seed}:{r.accession}", r.avg_len), r.accession), reverse=True)
+        self.left = {r.accession for r in runs}
+        self.weight = sum(max(r.avg_len, 1e-9) for r in runs)
+
+    def first(self) -> RunState:
+        while self.order[-1].accession not in self.left:
+            self.order.pop()
+        return self.order[-1]
+
+    def take(self, r: RunState) -> bool:
+        """Whether the run was here; it no longer is."""
+        if r.accession not in self.left:
+            return False
+        self.left.remove(r.accession)
+        self.weight -= max(r.avg_len, 1e-9)
+        return True
+
+
 class Loop:
+    """Runs with counts or claims of their own are estimated one by one, untouched ones by pool, so
+    a step costs as much as there are touched runs and pools, however many runs are listed."""
+
     def __init__(self, runs: list[RunState], provider: BatchProvider, config: Config):
         self.runs, self.provider, self.config = runs, provider, config
         self.model = TileModel(config.lam, config.pseudo)
@@ -112,62 +148,79 @@ class Loop:
         self.db_version = 0
         self.refreshes: list[tuple[int, str]] = []
         self.done = 0
-        self.queue = [r.accession for r in sorted((r for r in runs if r.rank > 0), key=lambda r: r.rank)]
+        self.queue = deque(r.accession for r in sorted((r for r in runs if r.rank > 0), key=lambda r: r.rank))
+        self.by = {r.accession: r for r in runs}
+        self.touched: list[RunState] = []
+        alike: dict[float, list[RunState]] = {}
+        for r in runs:
+            (self.touched if r.prior or r.counts or r.used or r.times or r.bad else alike.setdefault(self.factor(r), [])).append(r)
+        self.pools = {f: Pool(f, rs, config.seed) for f, rs in alike.items()}
+        self.claimed, self.useful = sum(r.used for r in runs), any(r.times for r in runs)
         pooled: dict = {}
         for r in runs:
             for t in r.prior:
                 pooled.setdefault(t, 0.0)
         self.model.add(pooled)
 
+    def is_open(self, r: RunState) -> bool:
+        return not r.bad and r.used < r.batches(self.config.batch_size)
+
     def open_runs(self) -> list[RunState]:
-        return [r for r in self.runs if not r.bad and r.used < r.batches(self.config.batch_size)]
+        """Touched runs that have batches left."""
+        return [r for r in self.touched if self.is_open(r)]
+
+    def factor(self, r: RunState) -> float:
+        """Share of the average reads that an untouched run should give."""
+        return max(0.01, min(1.0, r.yield_)) if r.yield_ is not None else self.config.unprocessed_weight if r.status == "unprocessed" else 1.0
+
+    def reads_of(self, r: RunState | Pool) -> float:
+        """Useful reads that one batch of the run, or of any run of the pool, should give."""
+        if isinstance(r, RunState) and r.times:
+            return (r.umr_pct + r.spliced_pct) / 100 * self.config.batch_size
+        factor = r.factor if isinstance(r, Pool) else self.factor(r)
+        return factor * (self.avg_umr + self.avg_spliced) / 100 * self.config.batch_size
+
+    def profit_of(self, r: RunState | Pool, extra: np.ndarray | None = None) -> float:
+        p = self.model.distribution({} if isinstance(r, Pool) else r.own_counts())
+        return self.model.profit(p, self.reads_of(r), extra) - self.config.cost * self.config.batch_size
 
-    def reads_of(self, r: RunState) -> float:
-        """Useful reads that one batch of the run should give."""
-        if r.times:
-            factor, pct = 1.0, r.umr_pct + r.spliced_pct
-        else:
-            pct = self.avg_umr + self.avg_spliced
-            factor = max(0.01, min(1.0, r.yield_)) if r.yield_ is not None else self.config.unprocessed_weight if r.status == "unprocessed" else 1.0
-        return factor * pct / 100 * self.config.batch_size
+    def able(self) -> list[RunState | Pool]:
+        return [*self.open_runs(), *(p for p in self.pools.values() if p.left)]
 
     def estimate(self) -> None:
-        """Profits with the averages of the step before, then new averages.  Untouched runs share
-        one distribution and, by expected reads, one profit."""
-        shared, known = self.model.distribution({}), {}
-        fixed = self.config.cost * self.config.batch_size
-        for r in self.open_runs():
-            reads, own = self.reads_of(r), r.own_counts()
-            if own:
-                r.profit = self.model.profit(self.model.distribution(own), reads) - fixed
-            else:
-                if reads not in known:
-                    known[reads] = self.model.profit(shared, reads) - fixed
-                r.profit = known[reads]
+        """Profits with the averages of the step before, then new averages."""
+        for r in self.able():
+            r.profit = self.profit_of(r)
         seen = [r for r in self.open_runs() if r.times]
         self.avg_umr = (400 + sum(r.umr_pct for r in seen)) / (4 + len(seen))
         self.avg_spliced = (400 + sum(r.spliced_pct for r in seen)) / (4 + len(seen))
 
-    def draw(self, tied: list[RunState], step: int) -> RunState:
-        """One of equally good runs, by length-weighted keys from a hash."""
+    def draw(self, tied: list[RunState | Pool], step: int) -> RunState:
+        """One of equally good runs, by length-weighted keys from a hash; a pool weighs as much as
+        its runs together and gives the next of its order."""
 
-        def key(r: RunState) -> float:
-            u = (int(hashlib.md5(f"{self.config.seed}:{step}:{r.accession}".encode()).hexdigest()[:13], 16) + 1) / (16**13 + 1)
-            return -math.log(u) / max(r.avg_len, 1e-9)
+        def key(r: RunState | Pool) -> tuple[float, str]:
+            name, weight = (f"pool {r.factor}", r.weight) if isinstance(r, Pool) else (r.accession, r.avg_len)
+            return weighted_key(f"{self.config.seed}:{step}:{name}", weight), name
 
-        return min(tied, key=lambda r: (key(r), r.accession))
+        best = min(tied, key=key)
+        if isinstance(best, Pool):
+            best.first().profit = best.profit
+            return best.first()
+        return best
 
     def choose(self, step: int, expected: list[np.ndarray] = ()) -> RunState | None:
         """The run of largest profit; with batches in flight, over counts plus their expected gains.
 
         Profits only fall when gains are added, so runs are visited by falling old profit and
         the visit ends when no later one can win."""
-        able = self.open_runs()
         while self.queue:
-            first = self.queue.pop(0)
-            for r in able:
-                if r.accession == first:
-                    return r
+            r = self.by.get(self.queue.popleft())
+            if r is not None and self.is_open(r):
+                pool = self.pools.get(self.factor(r))
+                r.profit = pool.profit if pool and r.accession in pool.left else r.profit
+                return r
+        able = self.able()
         if not able:
             return None
         if not len(expected):
@@ -176,33 +229,37 @@ class Loop:
         extra = np.zeros(len(self.model.x))
         for g in expected:
             extra[: len(g)] += g
-        fresh: dict[str, float] = {}
+        fresh: list[tuple[float, RunState | Pool]] = []
         top = -math.inf
-        for r in sorted(able, key=lambda r: (-r.profit, r.accession)):
+        for r in sorted(able, key=lambda r: -r.profit):
             if r.profit < top - 1e-9:
                 break
-            p = self.model.distribution(r.own_counts())
-            fresh[r.accession] = self.model.profit(p, self.reads_of(r), extra) - self.config.cost * self.config.batch_size
-            top = max(top, fresh[r.accession])
-        return self.draw([r for r in able if fresh.get(r.accession, -math.inf) >= top - 1e-9], step)
+            fresh.append((self.profit_of(r, extra), r))
+            top = max(top, fresh[-1][0])
+        return self.draw([r for p, r in fresh if p >= top - 1e-9], step)
 
     def claim(self, r: RunState, step: int) -> tuple[int, int, int]:
         """(first batch, batches, last batch) of the run: neighbours join while the run stays best."""
+        pool = self.pools.get(self.factor(r))
+        if pool and pool.take(r):
+            self.touched.append(r)
         order = r.visit_order(self.config.batch_size, self.config.seed)
         taken = set(order[: r.used])
         k = order[r.used]
         r.used += 1
+        self.claimed += 1
         last = k
-        budget = min(self.config.merge_batches, self.config.max_batches - sum(s.used for s in self.runs) + 1)
+        budget = min(self.config.merge_batches, self.config.max_batches - self.claimed + 1)
         if budget > 1 and r.times and not r.bad:
             expected = [self.model.gain_of(self.model.distribution(r.own_counts()), self.reads_of(r))]
-            while last - k + 1 < budget and last + 1 < r.batches(self.config.batch_size) and last + 1 not in taken:
+            while not self.queue and last - k + 1 < budget and last + 1 < r.batches(self.config.batch_size) and last + 1 not in taken:
                 if self.choose(step, expected) is not r:
                     break
                 last += 1
                 order.remove(last)
                 order.insert(r.used, last)
                 r.used += 1
+                self.claimed += 1
                 expected.append(expected[0])
         return k, last - k + 1, last
 
@@ -233,6 +290,7 @@ class Loop:
             r.umr_pct += (umr_pct - r.umr_pct) * count / (r.times + count)
             r.spliced_pct += (spliced - r.spliced_pct) * count / (r.times + count)
             r.times += count
+            self.useful = True
             for t, v in m["tiles"].items():
                 r.counts[t] = r.counts.get(t, 0.0) + v
             self.model.add(m["tiles"])
@@ -268,7 +326,7 @@ class Loop:
     def run(self) -> int:
         """Exit code: 0, or 3 when no batch was usable."""
         if self.config.bootstrap:
-            self.queue = [r.accession for r in self.runs]
+            self.queue = deque(r.accession for r in self.runs)
         self.estimate()
         step = claimed = 0
         flying: list[tuple] = []
@@ -276,7 +334,7 @@ class Loop:
             while True:
                 while len(flying) < self.config.in_flight and claimed < self.config.max_batches:
                     r = self.choose(step, [f[3] for f in flying])
-                    if r is None or (self.config.stop_without_profit and any(s.times for s in self.runs) and r.profit <= 0):
+                    if r is None or (self.config.stop_without_profit and self.useful and r.profit <= 0):
                         break
                     k, count, _ = self.claim(r, step)
                     gain = self.model.gain_of(self.model.distribution(r.own_counts()), self.reads_of(r)) * count
@@ -288,4 +346,4 @@ class Loop:
                 r, count, task, _ = flying.pop(0)  # the earliest one, so that timing changes nothing
                 self.apply(r, count, task.result())
                 self.estimate()
-        return OK if any(r.times for r in self.runs) else NO_DATA
+        return OK if self.useful else NO_DATA

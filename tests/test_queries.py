@@ -1,6 +1,6 @@
 import pytest
 
-from strandloom.plans import formats, queries  # noqa: F401
+from strandloom.plans import formats, queries, stored  # noqa: F401
 from strandloom.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
