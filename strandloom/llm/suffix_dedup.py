@@ -193,17 +193,24 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
         found = [_ranges(m) for m in masks]
         out = pdf[name].copy()
         out["lo"], out["hi"] = [f[0] for f in found], [f[1] for f in found]
-        # windows of split anchors may match in another index
-        loose = []
+        # windows of split anchors may match in another index; those that matched here are marked
+        # already, so one of each kind speaks for them there
+        loose, spoken = [], set()
         for m, salts, body in zip(masks, pdf["salts"], pdf["body"], strict=True):
-            ask = range(len(m)) if salts > 1 else ()
-            loose.append([xxhash.xxh3_128_digest(body[k : k + WINDOW]) for k in ask])
+            own = []
+            for k in range(len(m)) if salts > 1 else ():
+                digest = xxhash.xxh3_128_digest(body[k : k + WINDOW])
+                if not m[k] or digest not in spoken:
+                    own.append({"at": k, "hash": digest})
+                if m[k]:
+                    spoken.add(digest)
+            loose.append(own)
         out["loose"] = loose
         return out
 
-    looked = cells.withColumn("group", group).groupBy("group").applyInPandas(look_up, "anchor long, context long, more long, lo array<int>, hi array<int>, loose array<binary>")
+    looked = cells.withColumn("group", group).groupBy("group").applyInPandas(look_up, "anchor long, context long, more long, lo array<int>, hi array<int>, loose array<struct<at int, hash binary>>")
     looked = durable(looked, "looked-up")
-    loose = looked.select(*name, F.posexplode("loose").alias("at", "hash"))
+    loose = looked.select(*name, F.inline("loose"))
     here = F.struct("context", "more")
     met = loose.groupBy("hash").agg(F.min(here).alias("c1"), F.max(here).alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("hash", "n")
     span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
