@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +53,29 @@ def durable(df: DataFrame, what: str, rows: int | None = None, width: int = 64)
     return out
 
 
+def on_disk(df: DataFrame) -> DataFrame:
+    """Compute ``df`` and keep its rows as blocks on the executors' disks, until ``discard``; blocks
+    of a lost executor are made again.  For wide tables that the operator itself discards: unlike
+    ``durable`` this writes no files to the shared folder, and on a local disk each such file starts
+    two processes, which count the memory of the JVM twice while they start.  The plan goes on, so
+    few steps may lie between this and the next ``durable``."""
+    out = df.persist(StorageLevel.DISK_ONLY)
+    out.count()
+    return out
+
+
+def give_back() -> None:
+    """Return the freed memory of a Python worker, which outlives its task, to the system."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def discard(*tables: DataFrame | None) -> None:
-    """Delete what ``durable`` wrote for these tables, once nothing that is still to run reads them."""
+    """Delete what ``durable`` or ``on_disk`` keeps of these tables, once nothing that is still to
+    run reads them."""
     for t in tables:
+        if t is not None and t.is_cached:
+            t.unpersist()
         if path := getattr(t, "_written_to", None):
             spark = t.sparkSession
             place = spark._jvm.org.apache.hadoop.fs.Path(path)

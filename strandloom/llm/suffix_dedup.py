@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, durable, spread_join, table
+from .common import bound_batches, discard, durable, give_back, on_disk, spread_join, table
 from .runindex import RunIndex
 
 WINDOW = 200
@@ -119,6 +119,7 @@ def anchors(texts: DataFrame) -> DataFrame:
                 key = np.array([k for k, _, _ in group], np.int64)[owner]
                 made = [key[:, 0], key[:, 1], h.view(np.int64), context[:, 0], context[:, 1], first + base, count.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["d", "e", "anchor", "context", "more", "first", "windows"])
+        give_back()
 
     return texts.mapInArrow(run, "d long, e long, anchor long, context long, more long, first long, windows int")
 
@@ -156,11 +157,11 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     """(d, e, ranges): byte ranges, first and end, that repeated windows cover, for the rows
     (d, e, body) of ``texts``.  Ranges of a document may touch or overlap."""
     name, own = ["anchor", "context", "more"], ["d", "e"]
-    found = durable(anchors(texts), "anchors")
+    found = on_disk(anchors(texts))
     n = found.count()
     place = F.xxhash64("d", "e", "first")
     twice = found.groupBy("anchor").agg(F.min(place).alias("o1"), F.max(place).alias("o2"), F.count("*").alias("times")).where("o1 < o2").select("anchor", "times")
-    rows = durable(spread_join(found, twice, ["anchor"], "times", n).drop("times"), "shared-anchors")
+    rows = on_disk(spread_join(found, twice, ["anchor"], "times", n).drop("times"))
     discard(found)
     n = rows.count()
     contexts = rows.groupBy(*name).agg(F.min(place).alias("o1"), F.max(place).alias("o2"), F.count("*").alias("times"), F.min(F.struct("d", "e", "first", "windows")).alias("one"))
@@ -206,10 +207,11 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
                     spoken.add(digest)
             loose.append(own)
         out["loose"] = loose
+        give_back()
         return out
 
     looked = cells.withColumn("group", group).groupBy("group").applyInPandas(look_up, "anchor long, context long, more long, lo array<int>, hi array<int>, loose array<struct<at int, hash binary>>")
-    looked = durable(looked, "looked-up")
+    looked = durable(looked, "looked-up", asked.count(), 128)
     loose = looked.select(*name, F.inline("loose"))
     here = F.struct("context", "more")
     met = loose.groupBy("hash").agg(F.min(here).alias("c1"), F.max(here).alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("hash", "n")
@@ -220,10 +222,10 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     # contexts of anchors with one context alone were not looked up
     known = contexts.select(*name, "times", "whole", F.array(span(F.lit(0), F.col("windows"))).alias("all")).join(partial, name, "left")
     known = known.select(*name, "times", F.when(F.col("whole"), F.col("all")).otherwise(F.col("parts")).alias("parts")).where("parts is not null")
-    known = durable(known, "known")
+    known = durable(known, "known", contexts.count())
     hits = spread_join(rows.select(*own, *name, "first"), known, name, "times", n)
     placed = F.transform("parts", lambda p: F.struct((F.col("first") + p["lo"]).alias("lo"), (F.col("first") + p["hi"] + WINDOW - 1).alias("hi")))
-    ranges = durable(hits.select(*own, placed.alias("r")).groupBy(*own).agg(F.flatten(F.collect_set("r")).alias("ranges")), "ranges")
+    ranges = durable(hits.select(*own, placed.alias("r")).groupBy(*own).agg(F.flatten(F.collect_set("r")).alias("ranges")), "ranges", n)
     discard(rows, contexts, asked, looked, known)
     return ranges
 
@@ -255,7 +257,7 @@ def cut_repeats(docs: DataFrame, *carried: str | Column, text: bool = False) ->
     long_rows = all_rows.where(F.octet_length("body") >= WINDOW).select("d", "e", "body")
     ranges = repeated_ranges(long_rows)
     copies = long_rows.groupBy("d", "e").agg(F.count("*").alias("n")).where("n > 1").select("d", "e", F.lit(True).alias("copied"))
-    verdict = durable(ranges.join(copies, ["d", "e"], "full"), "verdicts")
+    verdict = durable(ranges.join(copies, ["d", "e"], "full"), "verdicts", ranges.count(), 256)
     discard(ranges)
 
     ready = all_rows.select("d", "e", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha"), "row", "body")
