@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, durable, table
+from .common import bound_batches, durable, give_back, table
 from .wordcode import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -169,6 +169,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
                 if packer.held >= BLOCK_IDS:
                     yield from rows(packer.flush(False))
         yield from rows(packer.flush(True))
+        coder.forget()
+        give_back()
 
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, PIECES + ", filled long")
     pieces = durable(made, "pieces")  # written, so the numbers of sequences hold

@@ -32,7 +32,8 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """This process's encoder of a tokenizer file; its memo serves one task after another."""
+    """This process's encoder of a tokenizer file; tasks that end ``forget`` its memo, since most words
+    of a task are its own and idle workers keep what they hold."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -57,6 +58,10 @@ class WordEncoder:
         self._marks: dict[str, list[int]] = {}
         self._clear()
 
+    def forget(self) -> None:
+        """Empty the memo."""
+        self._clear()
+
     def _clear(self) -> None:
         self._numbers = _Numbers()
         self._known = 0

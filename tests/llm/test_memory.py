@@ -1,7 +1,8 @@
 """What operators leave behind while and after they run."""
 
-from strandloom.llm import common, suffix_dedup
+from strandloom.llm import common, packing, suffix_dedup
 from strandloom.llm.common import table
+from strandloom.llm.wordcode import encoder, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
 
@@ -12,3 +13,25 @@ def test_suffix_dedup_writes_few_files(spark, tmp_path, monkeypatch):
     assert not list(tmp_path.glob("strandloom/*anchors*"))
     assert all(len(list(x.glob("part-*"))) <= 1 for x in tmp_path.glob("strandloom/*"))
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_a_packing_task_empties_the_memo(spark):
+    def words(batches):
+        for _ in batches:
+            pass
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([len(encoder(path)._numbers)], pa.int64())], names=["n"])
+
+    path = tokenizer_path()
+    assert packing.pack(table(spark, DATA, "documents").coalesce(1)).count() > 0
+    held = spark.range(8, numPartitions=8).mapInArrow(words, "n long").collect()
+    assert {r.n for r in held} == {0}
+
+
+def test_forgotten_words_are_learned_again():
+    coder = encoder(tokenizer_path())
+    first = coder.encode(b"Some words, and some again. Done.")
+    coder.forget()
+    again = coder.encode(b"Some words, and some again. Done.")
+    assert len(first[0]) and first[0].tolist() == again[0].tolist() and first[1].tolist() == again[1].tolist()
