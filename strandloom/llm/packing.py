@@ -142,13 +142,14 @@ def first_fit(sizes: list[int], names: list[int], window: int) -> tuple[list[int
     return into, shift
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = END_ID, forget: bool = False) -> DataFrame:
     """One row per piece of a document: where it starts in the document, how long it is,
     and its sequence and offset there.
 
     Null and empty texts are documents of the end id alone.  Null ids, ties and repeated
     rows are kept: each row is packed on its own.  An empty table gives no rows.  Columns
-    other than doc_id and text are not read.
+    other than doc_id and text are not read.  With ``forget`` each task ends by emptying the memo
+    of words, for sessions whose idle workers would each hold one.
     """
     path = tokenizer or tokenizer_path()
     bound_batches(docs.sparkSession)
@@ -169,8 +170,9 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
                 if packer.held >= BLOCK_IDS:
                     yield from rows(packer.flush(False))
         yield from rows(packer.flush(True))
-        coder.forget()
-        give_back()
+        if forget:
+            coder.forget()
+            give_back()
 
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, PIECES + ", filled long")
     pieces = durable(made, "pieces")  # written, so the numbers of sequences hold
@@ -195,4 +197,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left; a document that the mix repeats is packed as
     often."""
-    return pack(docs)
+    return pack(docs, forget=True)

@@ -32,8 +32,8 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """This process's encoder of a tokenizer file; tasks that end ``forget`` its memo, since most words
-    of a task are its own and idle workers keep what they hold."""
+    """This process's encoder of a tokenizer file; its memo serves one task after another, unless
+    they ``forget`` it."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]

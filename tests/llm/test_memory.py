@@ -24,7 +24,7 @@ def test_a_packing_task_empties_the_memo(spark):
         yield pa.RecordBatch.from_arrays([pa.array([len(encoder(path)._numbers)], pa.int64())], names=["n"])
 
     path = tokenizer_path()
-    assert packing.pack(table(spark, DATA, "documents").coalesce(1)).count() > 0
+    assert packing.stage(spark, table(spark, DATA, "documents").coalesce(1), DATA).count() > 0
     held = spark.range(8, numPartitions=8).mapInArrow(words, "n long").collect()
     assert {r.n for r in held} == {0}
 
