@@ -6,6 +6,8 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ FILE_BYTES = 1 << 24
 HOT_KEYS = 2000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+_WRITTEN: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,9 +54,25 @@ def durable(df: DataFrame, what: str, rows: int | None = None, width: int = 64)
     df.write.option("compression", "snappy").parquet(path)  # zstd keeps much memory outside the heap
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if (made := _WRITTEN.get()) is not None:
+        made.append(out)
     return out
 
 
+@contextlib.contextmanager
+def written() -> Iterator[list[DataFrame]]:
+    """The tables that ``durable`` writes within the block, so that the caller can discard those
+    that its own result does not read; an outer block gets them too."""
+    outer, made = _WRITTEN.get(), []
+    token = _WRITTEN.set(made)
+    try:
+        yield made
+    finally:
+        _WRITTEN.reset(token)
+        if outer is not None:
+            outer.extend(made)
+
+
 def on_disk(df: DataFrame) -> DataFrame:
     """Compute ``df`` and keep its rows as blocks on the executors' disks, until ``discard``; blocks
     of a lost executor are made again.  For wide tables that the operator itself discards: unlike

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, bound_batches, discard, durable, spread_join, table
+from .common import WORD_PATTERN, bound_batches, discard, durable, spread_join, table, written
 from .components import connected_components
 from .shingles import shingle_set
 
@@ -377,10 +377,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = {"i0": F.coalesce(doc_id, F.lit(0)), "i1": doc_id.isNull().cast("long"), "k1": F.xxhash64(F.lit(1), text), "k2": F.xxhash64(F.lit(2), text)}
     on = list(keys)
     ready = docs.select(F.struct(*docs.columns).alias("row"), doc_id.alias("doc_id"), F.col("text"), *[c.alias(n) for n, c in keys.items()])
-    found = _components(ready.drop("row"), SHINGLE_WORDS, SIMILARITY, tuple(on)).where("comp is not null")
-    rows = found.groupBy("comp", *on).agg(F.count("*").alias("times"))
-    best = rows.groupBy("comp").agg(F.min(F.struct("i1", "i0", "k1", "k2", "times")).alias("b"))
-    best = durable(best.select(*[F.col("b")[c].alias(c) for c in on], F.col("b.times").alias("times")), "kept")
+    with written() as made:
+        found = _components(ready.drop("row"), SHINGLE_WORDS, SIMILARITY, tuple(on)).where("comp is not null")
+        rows = found.groupBy("comp", *on).agg(F.count("*").alias("times"))
+        best = rows.groupBy("comp").agg(F.min(F.struct("i1", "i0", "k1", "k2", "times")).alias("b"))
+        best = durable(best.select(*[F.col("b")[c].alias(c) for c in on], F.col("b.times").alias("times")), "kept")
+    # only the names of the kept rows are read from here on; sketches and classes are about as large as the texts
+    discard(*(t for t in made if t is not best))
     worded = ready.where(F.col("text").rlike(WORD_PATTERN))
     one = worded.join(best.where("times = 1"), on, "left_semi").select("row")
     repeated = best.where("times > 1")

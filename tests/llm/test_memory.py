@@ -1,6 +1,7 @@
 """What operators leave behind while and after they run."""
 
-from strandloom.llm import common, packing, suffix_dedup
+import corpus_pipeline
+from strandloom.llm import common, near_dedup, packing, suffix_dedup
 from strandloom.llm.common import table
 from strandloom.llm.wordcode import encoder, tokenizer_path
 
@@ -35,3 +36,19 @@ def test_forgotten_words_are_learned_again():
     coder.forget()
     again = coder.encode(b"Some words, and some again. Done.")
     assert len(first[0]) and first[0].tolist() == again[0].tolist() and first[1].tolist() == again[1].tolist()
+
+
+def test_near_dedup_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    docs = table(spark, DATA, "documents")
+    out = near_dedup.stage(spark, docs, DATA)
+    left = [x.name.split("-")[0] for x in tmp_path.glob("strandloom/*")]
+    assert left == ["kept"]
+    kept = near_dedup.near_duplicates(docs, near_dedup.SHINGLE_WORDS).where("kept").select("doc_id")
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in kept.collect())
+
+
+def test_the_pipeline_leaves_only_what_its_last_stage_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    assert sorted(x.name.split("-")[0] for x in tmp_path.glob("strandloom/*")) == ["mixing", "pieces"]
