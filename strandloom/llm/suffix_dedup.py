@@ -160,10 +160,12 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     found = on_disk(anchors(texts))
     n = found.count()
     place = F.xxhash64("d", "e", "first")
-    twice = found.groupBy("anchor").agg(F.min(place).alias("o1"), F.max(place).alias("o2"), F.count("*").alias("times")).where("o1 < o2").select("anchor", "times")
-    rows = on_disk(spread_join(found, twice, ["anchor"], "times", n).drop("times"))
-    discard(found)
-    n = rows.count()
+    # both tables that are made of the anchors are files, so that their shuffles go; blocks would hold them
+    twice = found.groupBy("anchor").agg(F.min(place).alias("o1"), F.max(place).alias("o2"), F.count("*").alias("times")).where("o1 < o2")
+    twice = durable(twice.select("anchor", "times"), "twice", n // 8, 16)
+    left = twice.agg(F.sum("times")).first()[0] or 0
+    rows, n = durable(spread_join(found, twice, ["anchor"], "times", n).drop("times"), "rows", left), left
+    discard(found, twice)
     contexts = rows.groupBy(*name).agg(F.min(place).alias("o1"), F.max(place).alias("o2"), F.count("*").alias("times"), F.min(F.struct("d", "e", "first", "windows")).alias("one"))
     contexts = durable(contexts.select(*name, (F.col("o1") < F.col("o2")).alias("whole"), "times", "one.*"), "contexts", n)
     mixed = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")

@@ -16,6 +16,19 @@ def test_suffix_dedup_writes_few_files(spark, tmp_path, monkeypatch):
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
 
 
+def test_suffix_dedup_holds_no_shuffle_behind_its_blocks(spark, tmp_path, monkeypatch):
+    held, wrote, on_disk, durable = [], [], suffix_dedup.on_disk, suffix_dedup.durable
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(suffix_dedup, "on_disk", lambda df: held.append(df._jdf.queryExecution().sparkPlan().toString()) or on_disk(df))
+    monkeypatch.setattr(suffix_dedup, "durable", lambda df, what, *a: wrote.append(what) or durable(df, what, *a))
+    docs = table(spark, DATA, "documents")
+    cut = suffix_dedup.cut_repeats(docs.unionByName(docs), "doc_id")
+    assert held and not any(x in plan for plan in held for x in ("Join", "Aggregate"))
+    assert wrote.count("twice") == wrote.count("rows") == 1
+    assert not list(tmp_path.glob("strandloom/twice*")) + list(tmp_path.glob("strandloom/rows*"))
+    assert cut.agg({"n_removed": "sum"}).first()[0] > 0
+
+
 def test_a_packing_task_empties_the_memo(spark):
     def words(batches):
         for _ in batches:
